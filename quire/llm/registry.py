@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quire.llm import chat, langid, warc
+from quire.llm import chat, langid, packing, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op1_language_id": langid.op1_language_id,
         "op2_warc_zstd": warc.op2_warc_zstd,
+        "op3_packing": packing.op3_packing,
+        "op5_simhash": simhash.op5_simhash,
         "op8_chat_formatting": chat.op8_chat_formatting,
     }
 
