@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import chat, langid, packing, simhash, warc
+from quire.llm import chat, langid, mips, packing, simhash, vamana, warc
 
 
 def queries() -> dict:
@@ -11,9 +11,11 @@ def queries() -> dict:
         "op2_warc_zstd": warc.op2_warc_zstd,
         "op3_packing": packing.op3_packing,
         "op5_simhash": simhash.op5_simhash,
+        "op7_vamana": vamana.op7_vamana,
         "op8_chat_formatting": chat.op8_chat_formatting,
+        "op10_exact_mips": mips.op10_exact_mips,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_zstd": warc.OP2_SQL, "op8_chat_formatting": chat.OP8_SQL}
+    return {"op2_warc_zstd": warc.OP2_SQL, "op8_chat_formatting": chat.OP8_SQL, "op10_exact_mips": mips.OP10_SQL}

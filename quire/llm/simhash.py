@@ -189,9 +189,11 @@ def _shard_edges(table: pa.Table) -> pa.Table:
 def link(nodes: DataFrame) -> DataFrame:
     """Edges (u, v) that connect all fingerprints of ``nodes`` (fp, distinct) within MAX_BITS of each other."""
     spark = nodes.sparkSession
-    shards = min(MAX_SHARDS, max(1, nodes.count() // SHARD_NODES))
-    sample = nodes.select("fp", F.xxhash64("fp").alias("h")).orderBy("h", "fp").limit(SAMPLE_PER_SHARD * shards).collect() if shards > 1 else []
-    tree = spark.sparkContext.broadcast(build_tree(np.array([r.fp for r in sample], np.int64).view(np.uint64), shards) if sample else [])
+    n = nodes.count()
+    shards = min(MAX_SHARDS, max(1, n // SHARD_NODES))
+    uniform = F.pmod(F.xxhash64(F.lit("shards"), "fp"), F.lit(1 << 20)) / float(1 << 20)
+    sample = nodes.where(uniform < SAMPLE_PER_SHARD * shards / max(n, 1)).select("fp").collect() if shards > 1 else []  # about 64 thousand longs at most
+    tree = spark.sparkContext.broadcast(build_tree(np.sort(np.array([r.fp for r in sample], np.int64)).view(np.uint64), shards) if sample else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

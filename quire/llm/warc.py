@@ -130,8 +130,11 @@ def _frame_end(data: memoryview, at: int) -> int:
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of pages; empty where there are too few to train one."""
-    sample = pages.where(F.octet_length("html").between(64, SAMPLE_BYTES)).select("html", F.xxhash64("page_id", "html").alias("h"))
-    payloads = [r.html.encode() for r in sample.orderBy("h").limit(SAMPLE_PAGES).select("html").collect()]
+    fit = pages.where(F.octet_length("html").between(64, SAMPLE_BYTES))
+    n = fit.count()
+    # a hash below a threshold picks about SAMPLE_PAGES pages, the same ones on every run
+    uniform = F.pmod(F.xxhash64(F.lit("warc"), "page_id", "html"), F.lit(1 << 20)) / float(1 << 20)
+    payloads = [r.html.encode() for r in fit.where(uniform < SAMPLE_PAGES / max(n, 1)).select("html").toLocalIterator()]
     if len(payloads) < 8:
         return b""
     try:
