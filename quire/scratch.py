@@ -41,9 +41,19 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: a lineage cut that survives lost executors."""
+def materialize(df: DataFrame, label: str, rows: int | None = None, rows_per_file: int = 500_000) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back: a lineage cut that survives lost executors.
+
+    ``rows``, where the caller knows about how many narrow rows there are, keeps small tables from becoming many tiny files.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    fewer(df, rows, rows_per_file).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fewer(df: DataFrame, rows: int | None, rows_per_file: int = 500_000) -> DataFrame:
+    """``df`` in as many partitions as ``rows`` narrow rows fill, at least one for each core; never more than before."""
+    if rows is None:
+        return df
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // rows_per_file + 1))
