@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import functools
 import os
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +37,23 @@ from quire import scratch
 
 SEQUENCE, END_ID = 4096, 2
 HASHED, DIMS, BITS = 4096, 4, 15
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The character that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the rest from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class WordTokenizer:
-    """Ids of whole texts through a cache of space-separated words, whose ids don't depend on their neighbours."""
+    """Ids of whole texts through a cache of space-separated words, whose ids don't depend on their neighbours.
+
+    The cache has two generations, so that frequent words outlive it when it is full.
+    Words of letters alone go to the vocabulary's model at once; any other word takes
+    the tokenizer's whole path. Lower-casing, which the tokenizer does anyway, comes
+    first where it commutes with its normal form.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,15 +62,46 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.lower = self.direct("Straße") == self.whole(["Straße"])[0] == self.whole(["straße"])[0]
+
+    def whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def direct(self, word: str) -> bytes:
+        """Ids of a word of letters alone, lower-cased and in its normal form."""
+        spelt = word.lower()
+        if not spelt.isascii():
+            spelt = spelt.encode().decode("latin-1").translate(_BYTE_CHARS)
+        ids = [t.id for t in self.tokenizer.model.tokenize(spelt)]
+        return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
+        simple = self.lower and "\u03a3" not in text
+        if simple:
+            low = text.lower()
+            if simple := text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
+                text = low
         words = text.replace("\n", " ").split(" ")
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        if new := [w for w in set(words) if w not in self.cache]:
-            for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.cache[word] = np.array(e.ids, self.kind).tobytes()
-        return b"".join(map(self.cache.__getitem__, words))
+            self.old, self.cache = self.cache, {}
+        cache, old, hard = self.cache, self.old, []
+        for word in {w for w in words if w not in cache}:
+            if (known := old.get(word)) is not None:
+                cache[word] = known
+            elif simple and word.isalpha():
+                cache[word] = self.direct(word)
+            elif simple and word[-1:] in (".", ",") and (base := word[:-1]).isalpha():
+                cache[word] = (cache.get(base) or old.get(base) or self.direct(base)) + self.mark(word[-1])
+            else:
+                hard.append(word)
+        if hard:
+            cache.update(zip(hard, self.whole(hard), strict=True))
+        return b"".join(map(cache.__getitem__, words))
+
+    @functools.cache  # noqa: B019  two marks of a tokenizer that lives as long as its worker
+    def mark(self, mark: str) -> bytes:
+        return self.whole([mark])[0]
 
 
 @functools.lru_cache(2)
