@@ -35,15 +35,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.withColumnRenamed("m", "v")).where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """node, label (smallest node of its component) for every node of ``edges`` (u, v); self-edges and null ends are ignored."""
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """node, label (smallest node of its component) for every node of ``edges`` (u, v); self-edges and null ends are ignored.
+
+    ``rows`` is about the number of edges, where known.
+    """
     scratch.shared_dir(edges.sparkSession)
-    edges = edges.select("u", "v").where("u <> v").distinct().checkpoint()
+    edges = scratch.fewer(edges.select("u", "v").where("u <> v").distinct(), rows).checkpoint()
     before = None
     for _ in range(MAX_ROUNDS):
         now = _state(edges)
         if now == before or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
         before = now
-        edges = _small_star(_large_star(edges)).checkpoint()
+        edges = scratch.fewer(_small_star(_large_star(edges)), now[0]).checkpoint()
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

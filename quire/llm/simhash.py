@@ -209,8 +209,9 @@ def link(nodes: DataFrame) -> DataFrame:
 
 def components(fps: DataFrame, key: str = "doc_id") -> DataFrame:
     """fp -> rep: the smallest ``key`` reachable from each distinct fingerprint of ``fps`` (key, fp)."""
-    nodes = scratch.materialize(fps.groupBy("fp").agg(F.min(key).alias("rep")), "simhash-nodes")
-    labels = connected_components(link(nodes)).select(F.col("node").alias("fp"), "label")
+    rows = fps.count()
+    nodes = scratch.materialize(fps.groupBy("fp").agg(F.min(key).alias("rep")), "simhash-nodes", rows)
+    labels = connected_components(link(nodes), rows).select(F.col("node").alias("fp"), "label")
     linked = nodes.join(labels, "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     least = linked.groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     return linked.join(least, "label", "left").select("fp", F.coalesce("least", "rep").alias("rep"))
