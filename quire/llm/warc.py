@@ -171,6 +171,9 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
         if size:
             yield row()
 
+    size = pages.agg(F.sum("size")).first()[0] or 0
+    # archives of a fair size, also where the shuffle has many small partitions
+    typed = typed.coalesce(max(pages.sparkSession.sparkContext.defaultParallelism, size // archive_bytes + 1))
     archives = typed.select("page_id", "url", "refers_to", "size", "digest", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload")).mapInArrow(pack, "value binary")
     archives.select(F.col("value").cast("string")).write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
