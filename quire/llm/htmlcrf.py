@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.labelled_pages import Page
 
-TRAIN_PAGES, ITERATIONS, RIDGE = 700, 120, 2e-4
+TRAIN_PAGES, ITERATIONS, RIDGE = 1000, 160, 3e-5
 RAW = "script|style|noscript|template|title|svg|iframe|object|canvas|xmp|noembed|noframes"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q ruby rt rp s samp small span strike strong sub sup time tt u var wbr input br".split())
@@ -48,6 +48,7 @@ class Block(NamedTuple):
     tags: tuple[str, ...]
     names: frozenset[str]
     link_chars: int
+    own: frozenset[str]  # the names of the nearest element that has some
 
 
 @functools.lru_cache(4096)
@@ -67,7 +68,7 @@ def leaf_blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal links
         if parts and (text := " ".join("".join(parts).split())):
-            out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack)), links))
+            out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack)), links, next((n for _, n in reversed(stack) if n), frozenset())))
         parts.clear()
         links = 0
 
@@ -131,6 +132,7 @@ def block_features(block: Block, i: int, n: int) -> list[str]:
     near = _near(tags)
     out = [f"tag:{t}" for t in set(tags)]
     out += [f"name:{w}" for w in block.names]
+    out += [f"own:{w}" for w in block.own]
     out += [f"near:{near}", f"parent:{parent}", f"near+parent:{near}+{parent}"]
     out += ["bias", f"size:{size.bit_length()}", f"words:{words.bit_length()}", f"links:{min(4, 5 * block.link_chars // size)}"]
     out.append(f"end:{text[-1] if text[-1] in '.!?,:;' else 'none'}")

@@ -109,14 +109,19 @@ class Page:
         boxes = []
         if r.random() < 0.3:
             boxes.append(self.box("content", "main"))
-        if r.random() < 0.85 or not boxes:
+        if r.random() < 0.8:
             boxes.append(self.box("content", "article"))
         if r.random() < 0.25:
             boxes.append((f"<div{self.named(r.choice(['content', None]))}>", "</div>"))
         for begin, _ in boxes:
             self.put(begin)
         if r.random() < 0.85:
+            inside = r.random() < 0.25  # a header of the article holds its title, and often a line about it
+            self.put("<header>" if inside else "")
             self.put(f"<{(t := r.choice(['h1', 'h1', 'h2']))}>{self.words(2, 14, False)}</{t}>", 1)
+            if inside and r.random() < 0.4:
+                self.part("share")
+            self.put("</header>" if inside else "")
         if r.random() < 0.2:
             self.part("share")
         for _ in range(r.randint(1, 14)):
@@ -147,6 +152,11 @@ class Page:
 
     def build(self) -> list[tuple[str, int | None]]:
         r = self.r
+        if r.random() < 0.06:  # bare text, with or without paragraphs
+            tag = r.choice(["<p>", "<div>", "", "<body><p>"])
+            for _ in range(r.randint(1, 6) if tag else 1):
+                self.put(tag + self.words(1, r.choice([3, 30, 120])), 1)
+            return self.out
         self.put("<!DOCTYPE html><html><head><title>t</title></head><body>")
         wrap = r.random() < 0.4
         self.put(f"<div{self.named(None)}>" if wrap else "")
