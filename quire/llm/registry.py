@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quire.llm import bpe, chat, htmlcrf, langid, linededup, mips, packing, simhash, vamana, warc
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_html_crf": htmlcrf.op9_html_crf,
         "op10_exact_mips": mips.op10_exact_mips,
+        "pipeline": corpus_pipeline.run,
     }
 
 
