@@ -3,10 +3,11 @@
 Texts are dealt, in table order, into blocks of about ``BLOCK_CHARS`` characters, each
 a row with the block's distinct words (matches of the pattern) and every document as
 indices into them. Spark then folds the ranked merges over the byte arrays of those
-words: a step looks up the ranks of all adjacent pairs in a literal rank map, and
-merges the leftmost pair of the lowest rank. The map is a literal array of small
-maps, picked by CRC-32, since a lookup in one large map would scan it. Nothing is
-shuffled, and no vocabulary of the corpus is ever gathered.
+words. A piece is one long: the rank of the pair that it begins, its place, its id; so
+the least element of the array is the leftmost pair of the lowest rank, and a merge
+looks up the two new pairs only. The literal rank map goes from pairs of ids to ranks;
+it is laid out as one literal array with two places for each pair, since Spark scans
+the keys of a map. Nothing is shuffled, and no vocabulary of the corpus is gathered.
 
 A step of the fold costs the word's length, so a fold costs its square; words of over
 ``FOLD_BYTES`` bytes, such as long runs of one symbol, are merged with a heap while
@@ -24,7 +25,7 @@ import base64
 import functools
 import heapq
 import json
-import zlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS, FOLD_BYTES, RANK_BUCKETS = 24_000_000, 64, 1 << 14
+BLOCK_CHARS, FOLD_BYTES = 24_000_000, 64
+#: An element of the fold has the rank in the bits from 32 on, the place from 20 on, the id below.
+PLACE_BIT, RANK_BIT, NO_RANK = 20, 32, (1 << 31) - 1
+ID_MASK, LOW_MASK = (1 << PLACE_BIT) - 1, (1 << RANK_BIT) - 1
+#: Multipliers of the two places of a pair.
+HASHES = ((40_503, 2_654_437), (1_597_334, 362_441))
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -44,16 +50,42 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.lru_cache(2)
-def _tables(path: str) -> tuple[str, str]:
-    """JSON of the bucketed rank map and of the pieces by id; a byte is written as the character of its number."""
-    buckets: list[dict[str, int]] = [{} for _ in range(RANK_BUCKETS)]
+def _pair_table(path: str) -> tuple[str, int]:
+    """JSON of the pair table and its number of places: a place holds (left id, right id, rank), 20 bits each, or -1."""
+    ranks = load_ranks(path)
+    if max(ranks.values(), default=0) > ID_MASK:
+        raise ValueError(f"ranks above {ID_MASK}")
+    pairs = [(ranks[p[:i]], ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
+    size = 1 << max(4, (len(pairs) * 2).bit_length())
+    table = [-1] * size
+    at = lambda a, b, k: a * HASHES[k][0] + b * HASHES[k][1] & size - 1
+    for a, b, r in pairs:
+        entry, k = a << 40 | b << 20 | r, 0
+        for _ in range(500):
+            place = at(entry >> 40, entry >> 20 & ID_MASK, k)
+            table[place], entry = entry, table[place]
+            if entry < 0:
+                break
+            # the one that gave way goes to its other place
+            k = int(at(entry >> 40, entry >> 20 & ID_MASK, 0) == place)
+        else:
+            raise ValueError("the pairs don't fit the table")
+    return json.dumps(table), size
+
+
+@functools.lru_cache(2)
+def _byte_ids(path: str) -> list[int | None]:
+    return [load_ranks(path).get(bytes([b])) for b in range(256)]
+
+
+@functools.lru_cache(2)
+def _pieces(path: str) -> str:
+    """JSON of the pieces by id; a byte is written as the character of its number."""
     ranks = load_ranks(path)
     pieces: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        key = piece.decode("latin-1")
-        buckets[zlib.crc32(key.encode()) % RANK_BUCKETS][key] = rank
-        pieces[rank] = key
-    return json.dumps(buckets), json.dumps(pieces)
+        pieces[rank] = piece.decode("latin-1")
+    return json.dumps(pieces)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -76,26 +108,43 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
+#: The pattern of public_tokenizers.PATTERN for texts of Latin-1 alone, by classes that the faster standard module knows.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
+LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+
+
 @functools.lru_cache(2)
-def _splitter(pattern: str):
+def _splitter(pattern: str) -> Callable[[str], list[str]]:
     import regex
 
-    return regex.compile(pattern)
+    full = regex.compile(pattern).findall
+    if pattern != public_tokenizers.PATTERN:
+        return full
+    latin = re.compile(LATIN_PATTERN).findall
+
+    def split(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return full(text)
+        return latin(text)
+
+    return split
 
 
 def blocks(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """words (bytes as characters, or ids of a long one) and docs (doc_id, indices into words) of each block of documents."""
-    word_type = pa.struct([("bytes", pa.string()), ("ids", pa.list_(pa.int32()))])
+    """words (byte array, or ids of a long one) and docs (doc_id, indices into words) of each block of documents."""
+    word_type = pa.struct([("bytes", pa.list_(pa.int16())), ("ids", pa.list_(pa.int32()))])
     doc_type = pa.struct([("doc_id", pa.int64()), ("words", pa.list_(pa.int32()))])
     schema = pa.schema([("words", pa.list_(word_type)), ("docs", pa.list_(doc_type))])
 
     def row(table: dict[str, int], doc_ids: list, indices: list[np.ndarray]) -> pa.RecordBatch:
-        spelt, ids = [], []
-        for word in table:
-            raw = word.encode("utf-8", "surrogatepass")
-            spelt.append(raw.decode("latin-1") if len(raw) <= FOLD_BYTES else None)
-            ids.append(merge_long(raw, load_ranks(path)) if len(raw) > FOLD_BYTES else None)
-        words = pa.StructArray.from_arrays([pa.array(spelt, pa.string()), pa.array(ids, pa.list_(pa.int32()))], fields=list(word_type))
+        raw = [word.encode("utf-8", "surrogatepass") for word in table]
+        ids = [merge_long(x, load_ranks(path)) if len(x) > FOLD_BYTES else None for x in raw]
+        short = [x if len(x) <= FOLD_BYTES else b"" for x in raw]
+        ends = np.cumsum([0, *map(len, short)]).astype(np.int32)
+        spelt = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(short), np.uint8).astype(np.int16)))
+        words = pa.StructArray.from_arrays([spelt, pa.array(ids, pa.list_(pa.int32()))], fields=list(word_type))
         offsets = np.cumsum([0, *map(len, indices)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*indices, np.zeros(0, np.int32)]).astype(np.int32)))
         own = pa.StructArray.from_arrays([pa.array(doc_ids, pa.int64()), lists], fields=list(doc_type))
@@ -103,7 +152,7 @@ def blocks(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([wrap(words), wrap(own)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _splitter(pattern).findall
+        split = _splitter(pattern)
         table, doc_ids, indices, size = {}, [], [], 0
         put = table.setdefault
         for batch in batches:
@@ -122,58 +171,62 @@ def blocks(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield row(table, doc_ids, indices)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "words array<struct<bytes: string, ids: array<int>>>, docs array<struct<doc_id: long, words: array<int>>>"
+        run, "words array<struct<bytes: array<smallint>, ids: array<int>>>, docs array<struct<doc_id: long, words: array<int>>>"
     )
 
 
-#: Stands for a pair that is no piece; above every rank.
-NO_RANK = (1 << 31) - 1
+def fold_merges(word: Column, path: str = RANKS) -> Column:
+    """Ids of one word, an array of its bytes."""
+    text, size = _pair_table(path)
+    table = F.from_json(F.lit(text), "array<bigint>")
+    byte_ids = F.from_json(F.lit(json.dumps(_byte_ids(path))), "array<bigint>")
+    number = lambda x: F.lit(x).cast("long")
+    missing = F.raise_error(F.lit("a byte that the ranks lack")).cast("long")
 
+    def rank(a: Column, b: Column) -> Column:
+        """Rank of a pair of ids, shifted to its bits; that of no pair where there is none or b is null."""
+        key = F.shiftleft(a, 20).bitwiseOR(b)
+        place = lambda k: F.get(table, (a * number(HASHES[k][0]) + b * number(HASHES[k][1])).bitwiseAND(number(size - 1)).cast("int"))
+        found = lambda k: (F.shiftright(place(k), 20) == key, F.shiftleft(place(k).bitwiseAND(number(ID_MASK)), RANK_BIT))
+        return F.when(*found(0)).when(*found(1)).otherwise(number(NO_RANK << RANK_BIT))
 
-def fold_merges(word: Column, rank: Callable[[Column], Column]) -> Column:
-    """Ids of one word, its bytes written as characters; ``rank`` looks up a piece, null where there is none.
+    # a transform of one element binds what is used often, since an expression is evaluated wherever it stands
+    bind = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
 
-    The fold carries the pieces and the ranks of adjacent pairs; a merge looks up the two new pairs only.
-    """
-    score = lambda piece: F.coalesce(rank(piece), F.lit(NO_RANK))
-    one, none = F.lit(1), F.expr("cast(array() as array<int>)")
+    def first(ids: Column) -> Column:
+        return F.transform(ids, lambda a, i: rank(a, F.get(ids, i + 1)).bitwiseOR(F.shiftleft(i.cast("long"), PLACE_BIT)).bitwiseOR(a))
 
     def step(acc: Column, _: Column) -> Column:
-        p, r = acc.pieces, acc.ranks
+        place = lambda e: e.bitwiseAND(number(LOW_MASK ^ ID_MASK))
+        own_id = lambda e: e.bitwiseAND(number(ID_MASK))
 
-        def merged(at: Column) -> Column:
-            joined = F.concat(F.get(p, at - 1), F.get(p, at))
-            pieces = F.concat(F.slice(p, one, at - 1), F.array(joined), F.slice(p, at + 2, F.lit(FOLD_BYTES)))
-            before = F.when(at > 1, F.concat(F.slice(r, one, at - 2), F.array(score(F.concat(F.get(p, at - 2), joined))))).otherwise(none)
-            after = F.when(at < F.size(r), F.concat(F.array(score(F.concat(joined, F.get(p, at + 1)))), F.slice(r, at + 2, F.lit(FOLD_BYTES)))).otherwise(none)
-            return F.struct(pieces.alias("pieces"), F.concat(before, after).alias("ranks"))
+        def merged(least: Column, new_id: Column, at: Column) -> Column:
+            joined = lambda right: rank(new_id, right).bitwiseOR(place(least)).bitwiseOR(new_id)
+            new = bind(own_id(F.get(acc, at + 1)), joined)
+            before = bind(F.get(acc, at - 2), lambda left: left.bitwiseAND(number(LOW_MASK)).bitwiseOR(bind(own_id(left), lambda a: rank(a, new_id))))
+            rest = F.slice(acc, at + 2, F.lit(FOLD_BYTES))
+            return F.when(at > 1, F.concat(F.slice(acc, F.lit(1), at - 2), F.array(before, new), rest)).otherwise(F.concat(F.array(new), rest))
 
-        least = F.array_min(r)
-        # a transform of one element binds the place of the merge, which is used often
-        merge = F.get(F.transform(F.array(F.array_position(r, least).cast("int")), merged), F.lit(0))
-        return F.when(F.coalesce(least, F.lit(NO_RANK)) == NO_RANK, acc).otherwise(merge)
+        # array_position would leave its loop by a costly exception
+        at = lambda least: F.size(F.filter(acc, lambda e: place(e) < place(least))) + 1
+        merge = lambda least: bind(F.shiftright(least, RANK_BIT), lambda new_id: bind(at(least), lambda k: merged(least, new_id, k)))  # noqa: E731  the id of a merged pair is its rank
+        return bind(F.array_min(acc), lambda least: F.when(least >= number(NO_RANK << RANK_BIT), acc).otherwise(merge(least)))
 
-    pieces = F.split(word, "")
-    pairs = F.transform(F.sequence(one, F.length(word) - 1), lambda i: score(F.substring(word, i, F.lit(2))))
-    start = F.struct(pieces.alias("pieces"), pairs.alias("ranks"))
-    missing = F.raise_error(F.lit("a byte that the ranks lack")).cast("int")
-    folded = F.transform(F.aggregate(F.sequence(one, F.length(word) - 1), start, step, lambda acc: acc.pieces), lambda x: F.coalesce(rank(x), missing))
-    # a word that is a piece itself takes no merges
-    return F.get(F.transform(F.array(rank(word)), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(F.length(word) < 2, F.array(missing)).otherwise(folded)), F.lit(0))
+    start = bind(F.transform(word, lambda b: F.coalesce(F.get(byte_ids, b.cast("int")), missing)), first)
+    steps = F.when(F.size(word) > 1, F.sequence(F.lit(2), F.size(word))).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(F.aggregate(steps, start, step), lambda e: e.bitwiseAND(number(ID_MASK)).cast("int"))
 
 
 def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id and ids (array of int) of every row of ``docs`` (doc_id, text)."""
-    table = F.from_json(F.lit(_tables(path)[0]), "array<map<string, int>>")
-    rank = lambda piece: F.try_element_at(F.get(table, F.pmod(F.crc32(piece.cast("binary")), F.lit(RANK_BUCKETS)).cast("int")), piece)
-    encoded = blocks(docs, path, pattern).select("docs", F.transform("words", lambda w: F.coalesce(w.ids, fold_merges(w["bytes"], rank))).alias("codes"))
+    encoded = blocks(docs, path, pattern).select("docs", F.transform("words", lambda w: F.coalesce(w.ids, fold_merges(w["bytes"], path))).alias("codes"))
     each = F.transform("docs", lambda d: F.struct(d.doc_id.alias("doc_id"), F.flatten(F.transform(d.words, lambda i: F.get("codes", i))).alias("ids")))
     return encoded.select(F.inline(each))
 
 
 def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
     """``encoded`` with a binary column ``decoded``: the pieces of its ids, concatenated."""
-    pieces = F.from_json(F.lit(_tables(path)[1]), "array<string>")
+    pieces = F.from_json(F.lit(_pieces(path)), "array<string>")
     piece = lambda i: F.coalesce(F.get(pieces, i), F.raise_error(F.lit("an id that the ranks lack")).cast("string"))
     return encoded.withColumn("decoded", F.encode(F.array_join(F.transform("ids", piece), ""), "ISO-8859-1"))
 
