@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "documents_by_lang"
+from quire.plans import accounts, geometry, model, state, units
+from quire.streaming import jobs
 
-
-def _documents_by_lang(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").count()
+FLAGSHIP = "batch_greedy_60_6000"
+_CATALOGS = (units.catalog, state.catalog, accounts.catalog, geometry.catalog, model.catalog, jobs.catalog)
 
 
 def queries() -> dict:
-    return {"documents_by_lang": _documents_by_lang}
+    return {name: q for c in _CATALOGS for name, q in c.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"documents_by_lang": 'SELECT lang, count(*) AS "count" FROM documents GROUP BY lang'}
+    return {name: text for c in _CATALOGS for name, text in c.oracle.items()}
