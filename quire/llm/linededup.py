@@ -25,6 +25,8 @@ their names, are passed on. A text's lines are rebuilt in one row, as it came.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,36 +49,44 @@ def _halves(line: Column) -> Column:
     return F.array(*keys(n), *keys(n - 1))
 
 
-def _variants(chars: Column) -> Column:
-    """array of (hash, place) of a text's characters: the text itself at place -1, then each deletion.
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once: the variable of a transform over one element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _variants(line: Column) -> Column:
+    """array of (hash, place): the text itself at place -1, then each deletion of a character.
 
     With h(c, j) the hash of character c at place j, deletion i is the exclusive-or of
     h(c_j, j) over j < i and h(c_j, j - 1) over j > i.
     """
-    step = "struct<x: bigint, out: array<bigint>>"
+    return _bind(F.split(line, ""), _variants_of)
+
+
+def _variants_of(chars: Column) -> Column:
+    zero = F.lit(0).cast("long")
     h = lambda j: F.xxhash64(F.get(chars, j), j)
     moved = lambda j: F.xxhash64(F.get(chars, j), j - 1)
     xor = lambda a, b: a.bitwiseXOR(b)
     n = F.size(chars)
-    everything = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda a, j: xor(a, h(j)))
-    all_moved = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda a, j: xor(a, moved(j)))
+    whole = F.aggregate(F.sequence(F.lit(0), n - 1), zero, lambda a, j: xor(a, h(j)))
+    all_moved = F.aggregate(F.sequence(F.lit(0), n - 1), zero, lambda a, j: xor(a, moved(j)))
     # running sums in chunks, since an array that grows by one costs its length each time
     chunks = F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))
-    empty = F.expr(f"cast(named_struct('x', 0L, 'out', cast(array() as array<bigint>)) as {step})")
+    none = F.expr("cast(array() as array<bigint>)")
     nested = F.expr("cast(named_struct('x', 0L, 'out', cast(array() as array<array<bigint>>)) as struct<x: bigint, out: array<array<bigint>>>)")
 
     def inner(x: Column, chunk: Column) -> Column:
         places = F.sequence(chunk * CHUNK, F.least((chunk + 1) * CHUNK, n) - 1)
-        begin = F.struct(x.alias("x"), empty.out.alias("out"))
-        return F.aggregate(places, begin, lambda a, j: F.struct(xor(a.x, xor(h(j), moved(j))).alias("x"), F.array_append(a.out, xor(a.x, moved(j))).alias("out")))
+        begin = F.struct(x.alias("x"), none.alias("out"))
+        return F.aggregate(places, begin, lambda a, j: _bind(moved(j), lambda m: F.struct(xor(a.x, xor(h(j), m)).alias("x"), F.array_append(a.out, xor(a.x, m)).alias("out"))))
 
     def outer(a: Column, chunk: Column) -> Column:
-        # a transform of one element binds the chunk, which is used twice
-        return F.get(F.transform(F.array(inner(a.x, chunk)), lambda b: F.struct(b.x.alias("x"), F.array_append(a.out, b.out).alias("out"))), F.lit(0))
+        return _bind(inner(a.x, chunk), lambda b: F.struct(b.x.alias("x"), F.array_append(a.out, b.out).alias("out")))
 
     before = F.flatten(F.aggregate(chunks, nested, outer, lambda a: a.out))
-    own = F.array(F.struct(everything.alias("hash"), F.lit(-1).alias("place")))
-    return F.concat(own, F.transform(F.arrays_zip(before.alias("x"), F.sequence(F.lit(0), n - 1).alias("i")), lambda e: F.struct(xor(e.x, all_moved).alias("hash"), e.i.alias("place"))))
+    own = F.array(F.struct(whole.alias("hash"), F.lit(-1).alias("place")))
+    return _bind(all_moved, lambda m: F.concat(own, F.transform(before, lambda x, i: F.struct(xor(x, m).alias("hash"), i.alias("place")))))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -85,52 +95,54 @@ def _lines(rows: DataFrame) -> DataFrame:
     return out.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "place").alias("first"), "line")
 
 
-def near_lines(rows: DataFrame, texts: DataFrame, min_chars: int) -> DataFrame:
-    """h1, h2 of the texts that are within one edit of an earlier one; ``texts`` has h1, h2, first, halves."""
-    keyed = texts.where("halves IS NOT NULL").select("h1", "h2", F.explode("halves").alias("half"))
+def near_lines(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """id of the texts that are within one edit of an earlier one; ``texts`` has id, first, halves (null for short ones)."""
+    keyed = texts.where("halves IS NOT NULL").select("id", F.explode("halves").alias("half"))
     shared = keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    candidates = keyed.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    found = scratch.materialize(candidates.join(texts, ["h1", "h2"]).select("h1", "h2", "first"), "line-candidates", 1)
-    places = found.select("h1", "h2", F.col("first.rid").alias("rid"), F.col("first.place").alias("place"))
-    if places.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
+    candidates = keyed.join(shared, "half", "left_semi").select("id").distinct()
+    found = scratch.materialize(candidates.join(texts, "id").select("id", F.col("first.rid").alias("rid"), F.col("first.place").alias("place")), "line-candidates")
+    places = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     lines = _lines(rows).select(F.col("first.rid").alias("rid"), F.col("first.place").alias("place"), "first", "line")
-    spelt = scratch.materialize(lines.join(places, ["rid", "place"]).select("h1", "h2", "first", "line"), "line-texts")
-    chars = spelt.select("h1", "h2", "first", F.split("line", "").alias("chars"))
-    emitted = chars.select("h1", "h2", "first", F.size("chars").alias("n"), F.explode(_variants(F.col("chars"))).alias("v"))
-    variants = emitted.select("h1", "h2", "first", "v.place", (F.col("n") - (F.col("v.place") >= 0).cast("int")).alias("n"), "v.hash")
-    whole = variants.where("place < 0").select("n", "hash", F.col("first").alias("other"))
-    deleted = variants.where("place >= 0")
-    # substitutions: the earliest of those that leave the same rest at the same place
-    groups = deleted.groupBy("n", "hash", "place").agg(F.min("first").alias("other"), F.count("*").alias("size")).where("size > 1")
-    swapped = deleted.join(groups, ["n", "hash", "place"]).where("first > other").select("first", "other")
+    spelt = scratch.materialize(lines.join(places, ["rid", "place"]).select("id", "first", "line"), "line-texts")
+    emitted = spelt.select("id", F.length("line").alias("n"), F.explode(_variants(F.col("line"))).alias("v"))
+    emitted = emitted.select("id", (F.col("n") - (F.col("v.place") >= 0).cast("int")).alias("n"), "v.hash", "v.place")
+    variants = scratch.materialize(emitted, "line-variants")
+    whole, deleted = variants.where("place < 0").select("n", "hash", F.col("id").alias("whole")), variants.where("place >= 0")
+    firsts = spelt.select("id", "first")
+    # substitutions: those that leave the same rest at the same place, against the earliest of them
+    same = ["n", "hash", "place"]
+    shared = deleted.groupBy(*same).agg(F.count("*").alias("size")).where("size > 1").select(*same)
+    members = deleted.join(shared, same, "left_semi").join(firsts, "id").select(*same, "first")
+    swapped = members.join(members.groupBy(*same).agg(F.min("first").alias("other")), same).where("first > other").select("first", "other")
     # insertions: the whole text is on one side
-    longer = deleted.join(whole, ["n", "hash"])
+    longer = deleted.join(whole, ["n", "hash"]).select("id", "whole").distinct()
+    longer = longer.join(firsts, "id").join(firsts.select(F.col("id").alias("whole"), F.col("first").alias("other")), "whole")
     inserted = longer.select(F.greatest("first", "other").alias("first"), F.least("first", "other").alias("other"))
     pairs = swapped.unionByName(inserted).distinct()
-    one = spelt.select("h1", "h2", "first", "line")
     two = spelt.select(F.col("first").alias("other"), F.col("line").alias("other_line"))
     # levenshtein with a bound gives -1 beyond it
-    verified = pairs.join(one, "first").join(two, "other").where(F.levenshtein("line", "other_line", 1) >= 0)
-    return verified.select("h1", "h2").distinct()
+    verified = pairs.join(spelt, "first").join(two, "other").where(F.levenshtein("line", "other_line", 1) >= 0)
+    return verified.select("id").distinct()
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with a struct column ``row`` of all its columns, and text, n_lines, dropped (places of the dropped lines)."""
-    held = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
-    rows = held.select("rid", "doc_id", "text")
+    held = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row"))
+    text = F.col("row.text").cast("string")
+    rows = held.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), text.alias("text"))
     hashes = (F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     hashed = _lines(rows).select(*hashes, "first", F.when(F.length("line") >= min_chars, _halves(F.col("line"))).alias("halves"))
-    texts = scratch.materialize(hashed.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.any_value("halves").alias("halves")), "line-hashes")
-    near = near_lines(rows, texts, min_chars)
-    verdicts = texts.select("h1", "h2", F.col("first").alias("earliest")).join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
+    distinct = hashed.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.any_value("halves").alias("halves"))
+    texts = scratch.materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "line-hashes")
+    near = near_lines(rows, texts)
+    verdicts = texts.select("h1", "h2", "id", F.col("first").alias("earliest")).join(near.withColumn("near", F.lit(True)), "id", "left").drop("id")
     places = _lines(rows).select(*hashes, "first").join(verdicts, ["h1", "h2"])
     dropped = places.where((F.col("first") != F.col("earliest")) | F.col("near")).groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list("first.place").alias("dropped"))
     joined = held.join(dropped, "rid", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("dropped", i)), "\n")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("dropped", i)), "\n")
     return joined.select(
-        "row", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines"), F.coalesce(F.array_sort("dropped"), F.expr("cast(array() as array<int>)")).alias("dropped"),
+        "row", F.when(F.col("dropped").isNull(), text).otherwise(kept).alias("text"),
+        F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).alias("n_lines"), F.coalesce(F.array_sort("dropped"), F.expr("cast(array() as array<int>)")).alias("dropped"),
     )
 
 
