@@ -7,7 +7,7 @@ from quire.plans.dialect import Catalog
 catalog = Catalog()
 both = catalog.both
 
-BOXES = "(SELECT l_orderkey AS page, l_linenumber AS i, (l_partkey % 5) * 40 AS x0, l_linenumber * 15 + l_suppkey % 7 AS y0, (l_partkey % 5) * 40 + 60 + CAST(l_quantity AS BIGINT) * 4 AS x1, l_linenumber * 15 + l_suppkey % 7 + 12 AS y1, 9 + l_suppkey % 4 AS size FROM lineitem)"
+BOXES = "(SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i, (l_partkey % 5) * 40 AS x0, l_linenumber * 15 + l_suppkey % 7 AS y0, (l_partkey % 5) * 40 + 60 + CAST(l_quantity AS BIGINT) * 4 AS x1, l_linenumber * 15 + l_suppkey % 7 + 12 AS y1, 9 + l_suppkey % 4 AS size FROM lineitem)"
 PAIR = f"{BOXES} a JOIN {BOXES} b ON a.page = b.page"
 
 both("column_clusters", lambda d: f"SELECT page, i, sum(opens) OVER (PARTITION BY page ORDER BY x0, i) AS col FROM (SELECT page, i, x0, CASE WHEN x0 - lag(x0) OVER (PARTITION BY page ORDER BY x0, i) > 30 THEN 1 ELSE 0 END AS opens FROM {BOXES} b) c")
