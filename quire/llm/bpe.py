@@ -175,11 +175,21 @@ def blocks(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     )
 
 
-def fold_merges(word: Column, path: str = RANKS) -> Column:
-    """Ids of one word, an array of its bytes."""
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that stands, and is evaluated, once: the variable of a transform over one element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def fold_words(words: Column, path: str = RANKS) -> Column:
+    """Ids of each of ``words``, whose bytes are an array unless their ids are there already. The rank map is one literal in the plan."""
     text, size = _pair_table(path)
     table = F.from_json(F.lit(text), "array<bigint>")
     byte_ids = F.from_json(F.lit(json.dumps(_byte_ids(path))), "array<bigint>")
+    return _bind(table, lambda t: _bind(byte_ids, lambda b: F.transform(words, lambda w: F.coalesce(w.ids, fold_merges(w["bytes"], t, size, b)))))
+
+
+def fold_merges(word: Column, table: Column, size: int, byte_ids: Column) -> Column:
+    """Ids of one word, an array of its bytes, by a pair table of so many places and the ids of single bytes."""
     number = lambda x: F.lit(x).cast("long")
     missing = F.raise_error(F.lit("a byte that the ranks lack")).cast("long")
 
@@ -190,9 +200,6 @@ def fold_merges(word: Column, path: str = RANKS) -> Column:
         found = lambda k: (F.shiftright(place(k), 20) == key, F.shiftleft(place(k).bitwiseAND(number(ID_MASK)), RANK_BIT))
         return F.when(*found(0)).when(*found(1)).otherwise(number(NO_RANK << RANK_BIT))
 
-    # a transform of one element binds what is used often, since an expression is evaluated wherever it stands
-    bind = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
-
     def first(ids: Column) -> Column:
         return F.transform(ids, lambda a, i: rank(a, F.get(ids, i + 1)).bitwiseOR(F.shiftleft(i.cast("long"), PLACE_BIT)).bitwiseOR(a))
 
@@ -202,24 +209,24 @@ def fold_merges(word: Column, path: str = RANKS) -> Column:
 
         def merged(least: Column, new_id: Column, at: Column) -> Column:
             joined = lambda right: rank(new_id, right).bitwiseOR(place(least)).bitwiseOR(new_id)
-            new = bind(own_id(F.get(acc, at + 1)), joined)
-            before = bind(F.get(acc, at - 2), lambda left: left.bitwiseAND(number(LOW_MASK)).bitwiseOR(bind(own_id(left), lambda a: rank(a, new_id))))
+            new = _bind(own_id(F.get(acc, at + 1)), joined)
+            before = _bind(F.get(acc, at - 2), lambda left: left.bitwiseAND(number(LOW_MASK)).bitwiseOR(_bind(own_id(left), lambda a: rank(a, new_id))))
             rest = F.slice(acc, at + 2, F.lit(FOLD_BYTES))
             return F.when(at > 1, F.concat(F.slice(acc, F.lit(1), at - 2), F.array(before, new), rest)).otherwise(F.concat(F.array(new), rest))
 
         # array_position would leave its loop by a costly exception
         at = lambda least: F.size(F.filter(acc, lambda e: place(e) < place(least))) + 1
-        merge = lambda least: bind(F.shiftright(least, RANK_BIT), lambda new_id: bind(at(least), lambda k: merged(least, new_id, k)))  # noqa: E731  the id of a merged pair is its rank
-        return bind(F.array_min(acc), lambda least: F.when(least >= number(NO_RANK << RANK_BIT), acc).otherwise(merge(least)))
+        merge = lambda least: _bind(F.shiftright(least, RANK_BIT), lambda new_id: _bind(at(least), lambda k: merged(least, new_id, k)))  # noqa: E731  the id of a merged pair is its rank
+        return _bind(F.array_min(acc), lambda least: F.when(least >= number(NO_RANK << RANK_BIT), acc).otherwise(merge(least)))
 
-    start = bind(F.transform(word, lambda b: F.coalesce(F.get(byte_ids, b.cast("int")), missing)), first)
+    start = _bind(F.transform(word, lambda b: F.coalesce(F.get(byte_ids, b.cast("int")), missing)), first)
     steps = F.when(F.size(word) > 1, F.sequence(F.lit(2), F.size(word))).otherwise(F.expr("cast(array() as array<int>)"))
     return F.transform(F.aggregate(steps, start, step), lambda e: e.bitwiseAND(number(ID_MASK)).cast("int"))
 
 
 def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id and ids (array of int) of every row of ``docs`` (doc_id, text)."""
-    encoded = blocks(docs, path, pattern).select("docs", F.transform("words", lambda w: F.coalesce(w.ids, fold_merges(w["bytes"], path))).alias("codes"))
+    encoded = blocks(docs, path, pattern).select("docs", fold_words(F.col("words"), path).alias("codes"))
     each = F.transform("docs", lambda d: F.struct(d.doc_id.alias("doc_id"), F.flatten(F.transform(d.words, lambda i: F.get("codes", i))).alias("ids")))
     return encoded.select(F.inline(each))
 
@@ -227,8 +234,9 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.
 def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
     """``encoded`` with a binary column ``decoded``: the pieces of its ids, concatenated."""
     pieces = F.from_json(F.lit(_pieces(path)), "array<string>")
-    piece = lambda i: F.coalesce(F.get(pieces, i), F.raise_error(F.lit("an id that the ranks lack")).cast("string"))
-    return encoded.withColumn("decoded", F.encode(F.array_join(F.transform("ids", piece), ""), "ISO-8859-1"))
+    missing = F.raise_error(F.lit("an id that the ranks lack")).cast("string")
+    joined = _bind(pieces, lambda p: F.array_join(F.transform("ids", lambda i: F.coalesce(F.get(p, i), missing)), ""))
+    return encoded.withColumn("decoded", F.encode(joined, "ISO-8859-1"))
 
 
 def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:
