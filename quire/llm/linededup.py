@@ -9,7 +9,7 @@ A line is dropped where an earlier line is equal to it, or is within one edit
    one, counted from the start or the end. Texts that share no half with another
    have no neighbour and emit nothing further.
 3. The others emit all variants within the bound, themselves and each deletion of one
-   character, as hashed keys. A variant's hash is an exclusive-or of hashed
+   character in a half that is not shared, as hashed keys. A variant's hash is an exclusive-or of hashed
    (character, place), so a line of n characters costs n steps, not n squared.
 4. Equal variants join: two deletions at one place are a substitution, a whole text
    and a deletion are an insertion. Groups are met through their earliest member,
@@ -97,14 +97,18 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 def near_lines(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """id of the texts that are within one edit of an earlier one; ``texts`` has id, first, halves (null for short ones)."""
-    keyed = texts.where("halves IS NOT NULL").select("id", F.explode("halves").alias("half"))
+    keyed = texts.where("halves IS NOT NULL").select("id", F.posexplode("halves").alias("kind", "half"))
     shared = keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    candidates = keyed.join(shared, "half", "left_semi").select("id").distinct()
-    found = scratch.materialize(candidates.join(texts, "id").select("id", F.col("first.rid").alias("rid"), F.col("first.place").alias("place")), "line-candidates")
+    # a shared start leaves the edit to the second half, a shared end to the first
+    at_start = F.col("kind") % 2 == 0
+    candidates = keyed.join(shared, "half", "left_semi").groupBy("id").agg(F.bool_or(at_start).alias("late"), F.bool_or(~at_start).alias("early"))
+    found = scratch.materialize(candidates.join(texts, "id").select("id", "late", "early", F.col("first.rid").alias("rid"), F.col("first.place").alias("place")), "line-candidates")
     places = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     lines = _lines(rows).select(F.col("first.rid").alias("rid"), F.col("first.place").alias("place"), "first", "line")
-    spelt = scratch.materialize(lines.join(places, ["rid", "place"]).select("id", "first", "line"), "line-texts")
-    emitted = spelt.select("id", F.length("line").alias("n"), F.explode(_variants(F.col("line"))).alias("v"))
+    spelt = scratch.materialize(lines.join(places, ["rid", "place"]).select("id", "late", "early", "first", "line"), "line-texts")
+    n = F.length("line")
+    possible = lambda v: (v.place < 0) | (F.col("late") & (v.place >= F.floor((n - 1) / 2))) | (F.col("early") & (v.place <= F.floor(n / 2)))
+    emitted = spelt.select("id", n.alias("n"), F.explode(F.filter(_variants(F.col("line")), possible)).alias("v"))
     emitted = emitted.select("id", (F.col("n") - (F.col("v.place") >= 0).cast("int")).alias("n"), "v.hash", "v.place")
     variants = scratch.materialize(emitted, "line-variants")
     whole, deleted = variants.where("place < 0").select("n", "hash", F.col("id").alias("whole")), variants.where("place >= 0")
@@ -135,9 +139,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     distinct = hashed.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.any_value("halves").alias("halves"))
     texts = scratch.materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "line-hashes")
     near = near_lines(rows, texts)
-    verdicts = texts.select("h1", "h2", "id", F.col("first").alias("earliest")).join(near.withColumn("near", F.lit(True)), "id", "left").drop("id")
-    places = _lines(rows).select(*hashes, "first").join(verdicts, ["h1", "h2"])
-    dropped = places.where((F.col("first") != F.col("earliest")) | F.col("near")).groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list("first.place").alias("dropped"))
+    place_of = lambda c: (F.col(f"{c}.rid").alias(f"{c}_rid"), F.col(f"{c}.place").alias(f"{c}_place"))
+    verdicts = texts.select("h1", "h2", "id", *place_of("first")).join(near.withColumn("near", F.lit(True)), "id", "left").drop("id")
+    places = _lines(rows).select(*hashes, F.col("first.rid").alias("rid"), F.col("first.place").alias("place")).join(verdicts, ["h1", "h2"])
+    gone = (F.col("rid") != F.col("first_rid")) | (F.col("place") != F.col("first_place")) | F.col("near")
+    dropped = places.where(gone).groupBy("rid").agg(F.collect_list("place").alias("dropped"))
     joined = held.join(dropped, "rid", "left")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("dropped", i)), "\n")
     return joined.select(
