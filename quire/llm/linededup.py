@@ -130,7 +130,10 @@ def near_lines(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with a struct column ``row`` of all its columns, and text, n_lines, dropped (places of the dropped lines)."""
+    """A struct column ``row`` of all columns of ``docs``, and text, n_lines, dropped (places of the dropped lines).
+
+    ``docs`` is read more than once and must give its rows in the same partitions each time, as a table does.
+    """
     held = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row"))
     text = F.col("row.text").cast("string")
     rows = held.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), text.alias("text"))

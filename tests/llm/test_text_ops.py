@@ -186,6 +186,7 @@ def test_simhash_shards_lose_no_link(spark, monkeypatch):
 
 def test_simhash_odd_rows(spark):
     docs = odd(spark)
+    docs = docs.withColumn("rid", F.lit("own")).withColumn("fp", F.lit(1))
     kept = simhash.stage_simhash(spark, docs, "")
     rows = [(i, slow_fingerprint(t)) for i, t, *_ in ODD]
     assert kept.count() == len({c if c is not None else -1 for c in brute_components(rows)})
@@ -215,7 +216,7 @@ def test_line_dedup_against_sql(spark, tmp_path):
 
 
 def test_line_dedup_odd_rows(spark, monkeypatch):
-    docs = odd(spark)
+    docs = odd(spark).withColumn("rid", F.lit("own")).withColumn("first", F.lit(1))
     monkeypatch.setattr(linededup, "BROADCAST_ROWS", 0)  # the way without a broadcast
     found = linededup.stage_line_dedup(spark, docs, "")
     rows = found.collect()
