@@ -6,8 +6,7 @@ indices into them. Spark then folds the ranked merges over the byte arrays of th
 words. A piece is one long: the rank of the pair that it begins, its place, its id; so
 the least element of the array is the leftmost pair of the lowest rank, and a merge
 looks up the two new pairs only. The literal rank map goes from pairs of ids to ranks;
-it is laid out as one literal array with two places for each pair, since Spark scans
-the keys of a map. Nothing is shuffled, and no vocabulary of the corpus is gathered.
+it is laid out as a literal array of sparse rows, since Spark scans the keys of a map. Nothing is shuffled, and no vocabulary of the corpus is gathered.
 
 A step of the fold costs the word's length, so a fold costs its square; words of over
 ``FOLD_BYTES`` bytes, such as long runs of one symbol, are merged with a heap while
@@ -38,8 +37,8 @@ BLOCK_CHARS, FOLD_BYTES = 24_000_000, 64
 #: An element of the fold has the rank in the bits from 32 on, the place from 20 on, the id below.
 PLACE_BIT, RANK_BIT, NO_RANK = 20, 32, (1 << 31) - 1
 ID_MASK, LOW_MASK = (1 << PLACE_BIT) - 1, (1 << RANK_BIT) - 1
-#: Multipliers of the two places of a pair.
-HASHES = ((40_503, 2_654_437), (1_597_334, 362_441))
+#: What stands in a free place of the pair table: above every (id, rank).
+FREE = 1 << 62
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -50,27 +49,40 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.lru_cache(2)
-def _pair_table(path: str) -> tuple[str, int]:
-    """JSON of the pair table and its number of places: a place holds (left id, right id, rank), 20 bits each, or -1."""
+def _pair_table(path: str) -> tuple[str, str]:
+    """JSON of the pair table and of where each left id's row begins in it.
+
+    The rank of (a, b) stands at starts[a] + b, as (a, rank) in the high and low 32 bits:
+    sparse rows laid over each other where they have no place in common, longest first.
+    """
     ranks = load_ranks(path)
     if max(ranks.values(), default=0) > ID_MASK:
         raise ValueError(f"ranks above {ID_MASK}")
-    pairs = [(ranks[p[:i]], ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
-    size = 1 << max(4, (len(pairs) * 2).bit_length())
-    table = [-1] * size
-    at = lambda a, b, k: a * HASHES[k][0] + b * HASHES[k][1] & size - 1
-    for a, b, r in pairs:
-        entry, k = a << 40 | b << 20 | r, 0
-        for _ in range(500):
-            place = at(entry >> 40, entry >> 20 & ID_MASK, k)
-            table[place], entry = entry, table[place]
-            if entry < 0:
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for p, r in ranks.items():
+        for i in range(1, len(p)):
+            if p[:i] in ranks and p[i:] in ranks:
+                rows.setdefault(ranks[p[:i]], []).append((ranks[p[i:]], r))
+    ids, step = max(ranks.values(), default=-1) + 1, 2048
+    table, starts = np.full(ids, FREE, np.int64), np.zeros(ids, np.int64)
+    hints: dict[int, int] = {}  # where the last row of about this length found its place
+    for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
+        b, r = np.array(row, np.int64).T
+        begin, low = hints.get(len(b).bit_length(), 0), int(b.min())
+        while True:
+            if begin + step + ids > len(table):
+                table = np.concatenate([table, np.full(len(table) + step, FREE, np.int64)])
+            # places that the row's least id may take, of the next few
+            at = np.nonzero(table[begin + low : begin + low + step] == FREE)[0] + begin
+            fits = np.nonzero((table[at[:, None] + b] == FREE).all(axis=1))[0] if len(at) else at
+            if len(fits):
                 break
-            # the one that gave way goes to its other place
-            k = int(at(entry >> 40, entry >> 20 & ID_MASK, 0) == place)
-        else:
-            raise ValueError("the pairs don't fit the table")
-    return json.dumps(table), size
+            begin += step
+        hints[len(b).bit_length()] = begin
+        starts[a] = at[fits[0]]
+        table[starts[a] + b] = a << RANK_BIT | r
+    used = np.nonzero(table != FREE)[0]
+    return json.dumps(table[: used[-1] + 1 if len(used) else 0].tolist()), json.dumps(starts.tolist())
 
 
 @functools.lru_cache(2)
@@ -182,23 +194,22 @@ def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def fold_words(words: Column, path: str = RANKS) -> Column:
     """Ids of each of ``words``, whose bytes are an array unless their ids are there already. The rank map is one literal in the plan."""
-    text, size = _pair_table(path)
-    table = F.from_json(F.lit(text), "array<bigint>")
+    table, starts = (F.from_json(F.lit(x), "array<bigint>") for x in _pair_table(path))
     byte_ids = F.from_json(F.lit(json.dumps(_byte_ids(path))), "array<bigint>")
-    return _bind(table, lambda t: _bind(byte_ids, lambda b: F.transform(words, lambda w: F.coalesce(w.ids, fold_merges(w["bytes"], t, size, b)))))
+    ids = lambda t, s, b: F.transform(words, lambda w: F.coalesce(w.ids, fold_merges(w["bytes"], t, s, b)))
+    return _bind(table, lambda t: _bind(starts, lambda s: _bind(byte_ids, lambda b: ids(t, s, b))))
 
 
-def fold_merges(word: Column, table: Column, size: int, byte_ids: Column) -> Column:
-    """Ids of one word, an array of its bytes, by a pair table of so many places and the ids of single bytes."""
+def fold_merges(word: Column, table: Column, starts: Column, byte_ids: Column) -> Column:
+    """Ids of one word, an array of its bytes, by a pair table and the ids of single bytes."""
     number = lambda x: F.lit(x).cast("long")
     missing = F.raise_error(F.lit("a byte that the ranks lack")).cast("long")
 
     def rank(a: Column, b: Column) -> Column:
         """Rank of a pair of ids, shifted to its bits; that of no pair where there is none or b is null."""
-        key = F.shiftleft(a, 20).bitwiseOR(b)
-        place = lambda k: F.get(table, (a * number(HASHES[k][0]) + b * number(HASHES[k][1])).bitwiseAND(number(size - 1)).cast("int"))
-        found = lambda k: (F.shiftright(place(k), 20) == key, F.shiftleft(place(k).bitwiseAND(number(ID_MASK)), RANK_BIT))
-        return F.when(*found(0)).when(*found(1)).otherwise(number(NO_RANK << RANK_BIT))
+        found = F.get(table, (F.get(starts, a.cast("int")) + b).cast("int"))
+        # another row's entry differs in the high bits, so it comes out above every rank; least() passes over null
+        return F.shiftleft(F.least(found.bitwiseXOR(F.shiftleft(a, RANK_BIT)), number(NO_RANK)), RANK_BIT)
 
     def first(ids: Column) -> Column:
         return F.transform(ids, lambda a, i: rank(a, F.get(ids, i + 1)).bitwiseOR(F.shiftleft(i.cast("long"), PLACE_BIT)).bitwiseOR(a))
@@ -208,14 +219,14 @@ def fold_merges(word: Column, table: Column, size: int, byte_ids: Column) -> Col
         own_id = lambda e: e.bitwiseAND(number(ID_MASK))
 
         def merged(least: Column, new_id: Column, at: Column) -> Column:
-            joined = lambda right: rank(new_id, right).bitwiseOR(place(least)).bitwiseOR(new_id)
-            new = _bind(own_id(F.get(acc, at + 1)), joined)
-            before = _bind(F.get(acc, at - 2), lambda left: left.bitwiseAND(number(LOW_MASK)).bitwiseOR(_bind(own_id(left), lambda a: rank(a, new_id))))
-            rest = F.slice(acc, at + 2, F.lit(FOLD_BYTES))
-            return F.when(at > 1, F.concat(F.slice(acc, F.lit(1), at - 2), F.array(before, new), rest)).otherwise(F.concat(F.array(new), rest))
+            new = rank(new_id, own_id(F.get(acc, at + 2))).bitwiseOR(place(least)).bitwiseOR(new_id)
+            before = lambda left: left.bitwiseAND(number(LOW_MASK)).bitwiseOR(rank(own_id(left), new_id))
+            change = lambda e, i: F.when((i < at - 1) | (i > at + 1), e).when(i < at, before(e)).when(i == at, new).otherwise(number(-1))
+            # slice and concat cost far more than a pass over so few elements
+            return F.filter(F.transform(acc, change), lambda e: e >= 0)
 
         # array_position would leave its loop by a costly exception
-        at = lambda least: F.size(F.filter(acc, lambda e: place(e) < place(least))) + 1
+        at = lambda least: F.size(F.filter(acc, lambda e: place(e) < place(least)))
         merge = lambda least: _bind(F.shiftright(least, RANK_BIT), lambda new_id: _bind(at(least), lambda k: merged(least, new_id, k)))  # noqa: E731  the id of a merged pair is its rank
         return _bind(F.array_min(acc), lambda least: F.when(least >= number(NO_RANK << RANK_BIT), acc).otherwise(merge(least)))
 
