@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fold(rows: DataFrame, key: str, order: list[str], values: list[str], start: dict[str, Column], step: Callable[[dict[str, Column], Column], tuple[dict[str, Column], dict[str, Column]]], outputs: str) -> DataFrame:
+def fold(rows: DataFrame, key: str, order: list[str], values: list[str], start: dict[str, Column], step: Callable[[dict[str, Column], Column], tuple[dict[str, Column], dict[str, Column]]], outputs: str, decide: Callable[[dict[str, Column], Column], Column] | None = None) -> DataFrame:
     """``key``, the order columns and the outputs of ``step`` for each row, in order.
 
-    ``step(state, row)`` gives the next state and the row's outputs; ``outputs`` is their DDL.
+    ``step(state, row)`` gives the next state and the row's outputs; ``outputs`` is their DDL. What ``decide`` says
+    is evaluated once a row, and is the state's entry "decided".
     """
     items = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *values))).alias("items"))
     kinds = ", ".join(f"{o}: {dict(rows.dtypes)[o]}" for o in order)
@@ -24,7 +25,13 @@ def fold(rows: DataFrame, key: str, order: list[str], values: list[str], start:
     begin = F.struct(*[v.alias(k) for k, v in start.items()], none.alias("out"))
 
     def merge(acc: Column, row: Column) -> Column:
-        state, out = step({k: acc[k] for k in start}, row)
+        state = {k: acc[k] for k in start}
+        if decide is None:
+            return moved(acc, state, row)
+        return F.get(F.transform(F.array(decide(state, row)), lambda d: moved(acc, state | {"decided": d}, row)), F.lit(0))
+
+    def moved(acc: Column, state: dict[str, Column], row: Column) -> Column:
+        state, out = step(state, row)
         done = F.struct(*[row[o].alias(o) for o in order], *[v.alias(k) for k, v in out.items()])
         return F.struct(*[state[k].alias(k) for k in start], F.array_append(acc.out, done).alias("out"))
 
@@ -93,12 +100,17 @@ def quota_reset(reads: DataFrame, days: int = 30) -> DataFrame:
 
 def keep_last_different(lines: DataFrame, percent: int = 45, min_chars: int = 6) -> DataFrame:
     """doc_id, k, dropped for lines (doc_id, k, c stripped text): a line goes where its bigrams are like those of the last one kept."""
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+    c = F.col("c")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+    rows = lines.select("doc_id", "k", F.length(c).alias("n"), grams.alias("g"))
+
+    def alike(s: dict, r: Column) -> Column:
+        # 100 x shared >= percent x (all - shared); short lines are like nothing
+        counts = F.size(F.array_intersect(s["g"], r.g)) * (100 + percent) >= percent * (F.size(s["g"]) + F.size(r.g))
+        return F.when((s["n"] >= min_chars) & (r.n >= min_chars), counts).otherwise(F.lit(False))
 
     def step(s: dict, r: Column) -> tuple[dict, dict]:
-        a, b = grams(s["last"]), grams(r.c)
-        shared = F.size(F.array_intersect(a, b))
-        like = (F.length(s["last"]) >= min_chars) & (F.length(r.c) >= min_chars) & (shared * 100 >= percent * (F.size(a) + F.size(b) - shared))
-        return {"last": F.when(like, s["last"]).otherwise(r.c)}, {"dropped": like}
+        like = s["decided"]
+        return {"n": F.when(like, s["n"]).otherwise(r.n), "g": F.when(like, s["g"]).otherwise(r.g)}, {"dropped": like}
 
-    return fold(lines, "doc_id", ["k"], ["c"], {"last": F.lit("")}, step, "dropped: boolean")
+    return fold(rows, "doc_id", ["k"], ["n", "g"], {"n": F.lit(0), "g": F.expr("cast(array() as array<string>)")}, step, "dropped: boolean", alike)
