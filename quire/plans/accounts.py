@@ -7,9 +7,6 @@ from quire.plans.dialect import Catalog, Spark
 catalog = Catalog()
 both = catalog.both
 
-NOW = "TIMESTAMP'2024-01-31 00:00:00'"
-#: "Now" for orders: all of them are older.
-CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
 USERS = "(SELECT c_custkey AS id, lower(c_name) || '@example.com' AS email, CASE WHEN c_custkey % 10 = 0 THEN 'admin' WHEN c_custkey % 3 = 0 THEN 'vip' ELSE 'user' END AS role, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE c_custkey % 500 + 1 END AS quota_pages, CAST(floor(abs(c_acctbal)) AS BIGINT) % 700 AS used_pages, CASE WHEN c_acctbal < 0 THEN 'banned' ELSE 'active' END AS status FROM customer)"
 JOBS = "(SELECT o_orderkey AS id, o_custkey AS user_id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'queued' ELSE 'running' END AS status, o_orderdate AS created, CAST(round(o_totalprice) AS BIGINT) % 100 AS pages FROM orders)"
 INVITES = "(SELECT p_partkey AS id, upper(substring(p_name, 1, 8)) || CAST(p_partkey AS STRING) AS code, CAST(p_size AS BIGINT) AS max_uses, p_partkey % 5 AS used_count, p_partkey % 3 = 0 AS expired FROM part)"
