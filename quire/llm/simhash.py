@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire import scratch
+from quire.llm import nearcopies
 from quire.llm.components import connected_components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -225,7 +226,7 @@ def op5_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component: the smallest doc_id, or the first of its rows where doc_ids repeat or are null.
+    """Keep one document of each group of near copies (``nearcopies``: shingles of five words, similarity 0.8 or more): the smallest doc_id, or the first of its rows where doc_ids repeat or are null.
 
     ``docs`` is read more than once and must give its rows in the same partitions each time, as a table does.
     """
@@ -233,7 +234,7 @@ def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = docs.select(rid.alias("rid"), "doc_id", "text")
     # rows in order of doc_id, those without one last; rid tells repeated rows apart
     keyed = own.select("rid", "text", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("k"))
-    fps = scratch.materialize(fingerprints(keyed, "k"), "simhash")
-    keep = components(fps, "k").select(F.col("rep.rid").alias("rid")).distinct()
+    signed = scratch.materialize(nearcopies.signatures(keyed, "k"), "near")
+    keep = nearcopies.components(keyed, signed, "k").select(F.col("rep.rid").alias("rid")).distinct()
     held = docs.select(rid.alias("rid"), F.struct("*").alias("row")).join(keep, "rid", "left_semi")
     return held.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -51,3 +51,24 @@ def test_near_copies_leave_one(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate([*near, near[0], "something else altogether here", ""])], "doc_id long, text string")
     fps = [(i, slow_fingerprint(t)) for i, t in enumerate([*near, near[0], "something else altogether here", ""])]
     assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == sorted(set(brute_components(fps)))
+
+
+def test_near_copies_of_many_bits_leave_one(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in rng.integers(0, 9000, 300)]
+
+    def edited(n):
+        return " ".join(f"edit{n}" if k % (300 // n) == 2 * n else w for k, w in enumerate(words))
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    whole = " ".join(words)
+    jaccard = {n: len(shingles(whole) & shingles(edited(n))) / len(shingles(whole) | shingles(edited(n))) for n in (5, 10)}
+    assert jaccard[5] >= 0.8 > jaccard[10]
+    assert (slow_fingerprint(whole) ^ slow_fingerprint(edited(5))).bit_count() > 2
+    docs = spark.createDataFrame([(1, whole), (2, edited(5)), (3, edited(10)), (4, whole)], "doc_id long, text string")
+    near = len(shingles(edited(5)) & shingles(edited(10))) / len(shingles(edited(5)) | shingles(edited(10)))
+    assert near < 0.8
+    assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == [1, 3]
