@@ -160,9 +160,9 @@ class Catalog:
         self.queries: dict[str, Callable] = {}
         self.oracle: dict[str, str] = {}
 
-    def both(self, name: str, text: Callable[[Spark], str]) -> None:
-        """The same logical query on either engine."""
-        self.queries[name], self.oracle[name] = run_sql(text(Spark())), text(Duck())
+    def both(self, name: str, text: Callable[[Spark], str], oracle: Callable[[Spark], str] | None = None) -> None:
+        """The same logical query on either engine; ``oracle`` where the given SQL says something else."""
+        self.queries[name], self.oracle[name] = run_sql(text(Spark())), (oracle or text)(Duck())
 
     def add(self, name: str, query: Callable[[SparkSession, str], DataFrame], oracle: Callable[[Spark], str] | None = None) -> None:
         self.queries[name] = query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans.dialect import Catalog
+from quire.plans.dialect import Catalog, Spark
 
 catalog = Catalog()
 both = catalog.both
@@ -30,10 +30,13 @@ both("baseline_clamp", lambda d: f"SELECT page, i, greatest(y0 + 0.8 * size, lea
 both("visual_lines", lambda d: f"SELECT page, i, sum(opens) OVER (PARTITION BY page ORDER BY y1, x0, i) AS visual FROM (SELECT *, CASE WHEN abs(y1 - lag(y1) OVER w) <= 0.6 AND x0 - lag(x1) OVER w <= 0.6 * size THEN 0 ELSE 1 END AS opens FROM {BOXES} b WINDOW w AS (PARTITION BY page ORDER BY y1, x0, i)) v")
 both("obstacle_rects", lambda d: f"SELECT page, i FROM {BOXES} b WHERE x1 - x0 >= 100 AND y1 - y0 >= 12")
 both("word_cleanup", lambda d: f"SELECT page, i, row_number() OVER (PARTITION BY page ORDER BY y0, x0, i) AS n FROM {BOXES} b WHERE x1 > x0 AND y1 > y0")
-#: A reply of as many characters as n_chars % 500 and the lines, over the widths of the first twelve lines of a document.
-both(
-    "allocate_shares",
-    lambda d: f"""SELECT doc_id, i, 1 + share + CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY frac DESC, w DESC, i) <= extra - sum(share) OVER (PARTITION BY doc_id) THEN 1 ELSE 0 END AS n FROM (
+
+
+def _shares(d: Spark, bound: str = "") -> str:
+    return f"""SELECT doc_id, i, 1 + share + CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY frac DESC, w DESC, i) <= extra - sum(share) OVER (PARTITION BY doc_id) THEN 1 ELSE 0 END AS n FROM (
       SELECT doc_id, i, w, extra, extra * w {d.div} total AS share, extra * w % total AS frac FROM (
-        SELECT l.doc_id, l.i, length(l.line) + 1 AS w, CAST(sum(length(l.line) + 1) OVER (PARTITION BY l.doc_id) AS BIGINT) AS total, t.n_chars % 500 AS extra FROM {d.lines()} l JOIN documents t ON t.doc_id = l.doc_id WHERE l.i < 12) a) b""",
-)
+        SELECT l.doc_id, l.i, length(l.line) + 1 AS w, CAST(sum(length(l.line) + 1) OVER (PARTITION BY l.doc_id) AS BIGINT) AS total, t.n_chars % 500 AS extra FROM {d.lines()} l JOIN documents t ON t.doc_id = l.doc_id{bound}) a) b"""
+
+
+#: A reply of as many characters as n_chars % 500 and the lines, over the widths of a document's lines; the given SQL stops at the twelfth.
+both("allocate_shares", _shares, lambda d: _shares(d, " WHERE l.i < 12"))
