@@ -47,7 +47,8 @@ both("safe_name", lambda d: f"SELECT page_id, {T.safe_name(d, 'url')} AS safe FR
 both("output_name", lambda d: f"SELECT page_id, concat({d.replace(T.safe_name(d, 'url'), '[.][A-Za-z]+$', '')}, '_zh', {d.extract('url', '[.][A-Za-z]+$')}) AS name FROM pages")
 both("human_size", lambda d: f"SELECT doc_id, CASE WHEN n_chars <= 0 THEN '0' WHEN n_chars < 1048576 THEN concat(CAST(CAST(floor(n_chars / 1024.0 + 0.5) AS BIGINT) AS STRING), ' KB') ELSE concat(CAST(CAST(floor(n_chars / 104857.6 + 0.5) AS BIGINT) / 10.0 AS STRING), ' MB') END AS size FROM documents")
 both("phase_text", lambda d: "SELECT event_id, CASE WHEN event_type LIKE '%sign%' THEN 'queued' WHEN event_type LIKE '%view%' THEN 'reading' WHEN event_type LIKE '%click%' THEN 'translating' WHEN event_type LIKE '%purchase%' THEN 'done' ELSE 'failed' END AS phase FROM events")
-both("prompt_numbering", lambda d: f"SELECT doc_id, {d.join('concat(CAST(i + 1 AS STRING), ' + chr(39) + '. ' + chr(39) + ', line)', ' | ', 'i')} AS prompt FROM {_stripped(d)} s WHERE i < 20 GROUP BY doc_id")
+#: The given SQL stops at the twentieth line.
+both("prompt_numbering", lambda d: f"SELECT doc_id, {d.join('concat(CAST(i + 1 AS STRING), ' + chr(39) + '. ' + chr(39) + ', line)', ' | ', 'i')} AS prompt FROM {_stripped(d)} s GROUP BY doc_id", lambda d: f"SELECT doc_id, {d.join('concat(CAST(i + 1 AS STRING), ' + chr(39) + '. ' + chr(39) + ', line)', ' | ', 'i')} AS prompt FROM {_stripped(d)} s WHERE i < 20 GROUP BY doc_id")
 both("context_block", lambda d: f"SELECT doc_id, substring({d.join('line', ' / ', 'i')}, 1, 400) AS context FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM {_stripped(d)} s WHERE length(line) >= 4) c WHERE k <= 6 GROUP BY doc_id")
 both("content_hash", lambda d: f"SELECT doc_id, substring({d.hex256('text')}, 1, 12) AS content_hash FROM documents")
 both("cache_key", lambda d: f"SELECT doc_id, concat('m1/', lang, '-zh/', source, '-', CAST(n_chars AS STRING), '-', substring({d.hex256('text')}, 1, 8)) AS cache_key FROM documents")

@@ -34,3 +34,11 @@ def test_shares_cover_all_lines(spark, tiny, oracle):
         want += [(doc, i, x) for i, x in enumerate(n)]
     assert max(i for _, i, _ in want) >= 12
     assert found(spark, tiny, "allocate_shares", "doc_id", "i", "n") == sorted(want)
+
+
+def test_prompts_number_all_lines(spark, tiny, oracle):
+    lines = defaultdict(list)
+    for doc, i, line in oracle.sql(f"SELECT doc_id, i, line FROM {units._stripped(Duck())} s").fetchall():
+        lines[doc].append((i, line))
+    assert max(map(len, lines.values())) > 20
+    assert found(spark, tiny, "prompt_numbering", "doc_id", "prompt") == sorted((d, " | ".join(f"{i + 1}. {x}" for i, x in sorted(v))) for d, v in lines.items())
