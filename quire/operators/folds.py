@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,6 +53,19 @@ def greedy_batches(units: DataFrame, max_units: int, max_chars: int, after: bool
     return fold(units, "doc_id", ["k"], ["n"], {"batch": _long(0), "count": _long(0), "chars": _long(0)}, step, "batch: bigint")
 
 
+def balanced_batches(units: DataFrame, max_units: int, max_chars: int) -> DataFrame:
+    """doc_id, k, batch for units (doc_id, k, n): what remains at each batch's start is dealt evenly; a batch closes early before it would go beyond ``max_chars``."""
+
+    def step(s: dict, r: Column) -> tuple[dict, dict]:
+        full = (s["count"] >= s["take"]) | ((s["count"] > 0) & (s["chars"] + r.n > max_chars))
+        parts = F.ceil(r.remain / max_units)
+        batch = s["batch"] + F.when(full, 1).otherwise(0).cast("long")
+        return {"batch": batch, "count": F.when(full, _long(1)).otherwise(s["count"] + 1), "chars": F.when(full, r.n).otherwise(s["chars"] + r.n), "take": F.when(full, F.ceil(r.remain / parts)).otherwise(s["take"])}, {"batch": batch}
+
+    rows = units.select("doc_id", "k", F.col("n").cast("long").alias("n"), (F.count("*").over(Window.partitionBy("doc_id")) - F.row_number().over(Window.partitionBy("doc_id").orderBy("k")) + 1).alias("remain"))
+    return fold(rows, "doc_id", ["k"], ["n", "remain"], {"batch": _long(-1), "count": _long(0), "chars": _long(0), "take": _long(0)}, step, "batch: bigint")
+
+
 def accumulate_pages(pages: DataFrame, at_least: int = 30) -> DataFrame:
     """doc_id, k, batch for pages (doc_id, k, n units): pages gather until they have ``at_least`` units."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quire.functions import text as T
 from quire.operators import folds
 from quire.plans.dialect import Catalog, Duck, Spark, run_sql
@@ -54,8 +56,12 @@ catalog.add(
     lambda spark, sf: folds.accumulate_pages(_frame(lambda d: f"SELECT * FROM {pages(d)} u")(spark, sf)),
     lambda d: walk(d, pages(d), "doc_id", "k", {"batch": "0", "units": "x.n"}, {"batch": "s.batch + CASE WHEN s.units >= 30 THEN 1 ELSE 0 END", "units": "CASE WHEN s.units >= 30 THEN x.n ELSE s.units + x.n END"}, "doc_id, k, =batch"),
 )
-#: Without the limit on characters, balanced batches are closed-form: as even as can be, of at most 100.
-both("batch_balanced", lambda d: f"SELECT doc_id, batch, count(*) AS n FROM (SELECT doc_id, CASE WHEN k < big * (per + 1) THEN k {d.div} (per + 1) ELSE big + (k - big * (per + 1)) {d.div} greatest(per, 1) END AS batch FROM (SELECT doc_id, k, total {d.div} parts AS per, total % parts AS big FROM (SELECT doc_id, k, total, (total + 99) {d.div} 100 AS parts FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id) AS total FROM {units(d)} u) a) b) c) e GROUP BY doc_id, batch")
+#: The given SQL is a closed form without the limit on characters.
+catalog.add(
+    "batch_balanced",
+    lambda spark, sf: folds.balanced_batches(_frame(lambda d: f"SELECT * FROM {units(d)} u")(spark, sf), 100, 3500).groupBy("doc_id", "batch").agg(F.count("*").alias("n")),
+    lambda d: f"SELECT doc_id, batch, count(*) AS n FROM (SELECT doc_id, CASE WHEN k < big * (per + 1) THEN k {d.div} (per + 1) ELSE big + (k - big * (per + 1)) {d.div} greatest(per, 1) END AS batch FROM (SELECT doc_id, k, total {d.div} parts AS per, total % parts AS big FROM (SELECT doc_id, k, total, (total + 99) {d.div} 100 AS parts FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id) AS total FROM {units(d)} u) a) b) c) e GROUP BY doc_id, batch",
+)
 catalog.add(
     "rate_limit_fixed_window",
     lambda spark, sf: folds.rate_limit(_frame(lambda d: f"SELECT * FROM {hits(d)} h")(spark, sf), 5, 86400),

@@ -42,3 +42,19 @@ def test_prompts_number_all_lines(spark, tiny, oracle):
         lines[doc].append((i, line))
     assert max(map(len, lines.values())) > 20
     assert found(spark, tiny, "prompt_numbering", "doc_id", "prompt") == sorted((d, " | ".join(f"{i + 1}. {x}" for i, x in sorted(v))) for d, v in lines.items())
+
+
+def test_balanced_batches_heed_characters(spark, tiny, oracle):
+    sizes, want = defaultdict(list), []
+    for doc, n in oracle.sql(f"SELECT doc_id, n FROM {state.units(Duck())} u ORDER BY doc_id, k").fetchall():
+        sizes[doc].append(n)
+    for doc, v in sizes.items():
+        i = batch = 0
+        while i < len(v):
+            parts = -(-(len(v) - i) // 100)
+            take, j, chars = -(-(len(v) - i) // parts), i, 0
+            while j < len(v) and j - i < take and (j == i or chars + v[j] <= 3500):
+                chars, j = chars + v[j], j + 1
+            want.append((doc, batch, j - i))
+            i, batch = j, batch + 1
+    assert found(spark, tiny, "batch_balanced", "doc_id", "batch", "n") == sorted(want)
