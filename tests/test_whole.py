@@ -58,3 +58,20 @@ def test_balanced_batches_heed_characters(spark, tiny, oracle):
             want.append((doc, batch, j - i))
             i, batch = j, batch + 1
     assert found(spark, tiny, "batch_balanced", "doc_id", "batch", "n") == sorted(want)
+
+
+def test_reserved_boxes_meet_every_drawn_one(spark, tiny, oracle):
+    want = [(page, a[0]) for page, boxes in pages_of(oracle).items() for a in boxes if not any(b[5] >= 10 and all(abs(x - y) <= 0.6 for x, y in zip(a[1:5], b[1:5], strict=True)) for b in boxes)]
+    assert found(spark, tiny, "tolerant_anti_join", "page", "i") == sorted(want)
+
+
+def test_blocked_pairs_at_any_distance(spark, tiny, oracle):
+    want = []
+    for page, boxes in pages_of(oracle).items():
+        small, large = [b for b in boxes if b[5] < 10], [b for b in boxes if b[5] >= 10]
+        for i, ax0, _, ax1, ay1, _ in large:
+            for j, bx0, by0, bx1, _, _ in large:
+                if ay1 <= by0 and any(c[2] >= ay1 - 1 and c[4] <= by0 + 1 and c[3] > min(ax0, bx0) and c[1] < max(ax1, bx1) for c in small):
+                    want.append((page, i, j))
+    assert len({abs(i - j) for _, i, j in want}) > 1
+    assert found(spark, tiny, "blocked_pairs", "page", "i", "j") == sorted(want)
