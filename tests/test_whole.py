@@ -75,3 +75,22 @@ def test_blocked_pairs_at_any_distance(spark, tiny, oracle):
                     want.append((page, i, j))
     assert len({abs(i - j) for _, i, j in want}) > 1
     assert found(spark, tiny, "blocked_pairs", "page", "i", "j") == sorted(want)
+
+
+def test_rate_limit_over_several_frames(spark, tmp_path):
+    hours = [(7 * k) % 60 for k in range(60)]
+    rows = [(9, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)) for h in hours]
+    spark.createDataFrame(rows, "user_id long, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
+    over = n = 0
+    since = None
+    for h in sorted(hours):
+        if since is None or h - since > 24:
+            since, n = h, 0
+        n += 1
+        over += n > 5
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        stream = spark.readStream.schema("user_id long, ts timestamp").parquet(f"{tmp_path}/in")
+        assert [tuple(r) for r in jobs.drain(jobs.rate_limit(stream), "frames", "update").collect()] == [(9, 60, over)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
