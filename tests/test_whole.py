@@ -77,6 +77,14 @@ def test_blocked_pairs_at_any_distance(spark, tiny, oracle):
     assert found(spark, tiny, "blocked_pairs", "page", "i", "j") == sorted(want)
 
 
+def test_recent_usage_of_each_user(spark, tiny, tmp_path):
+    (tmp_path / "pages.parquet").symlink_to(f"{tiny}/pages.parquet")
+    path = f"{tmp_path}/orders.parquet"
+    duckdb.sql(f"COPY (SELECT k AS o_orderkey, CASE WHEN k < 120 THEN k % 2 ELSE 7 END AS o_custkey, 'F' AS o_orderstatus, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * k AS o_orderdate, CAST(k AS DOUBLE) AS o_totalprice FROM range(121) t(k)) TO '{path}'")
+    got = found(spark, str(tmp_path), "user_usage_recent", "user_id", "id")
+    assert got == sorted([(u, k) for u in (0, 1) for k in range(120) if k % 2 == u and k >= 20] + [(7, 120)])
+
+
 def test_rate_limit_over_several_frames(spark, tmp_path):
     hours = [(7 * k) % 60 for k in range(60)]
     rows = [(9, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)) for h in hours]
