@@ -24,7 +24,7 @@ import os
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -37,7 +37,8 @@ from quire import scratch
 
 SEQUENCE, END_ID = 4096, 2
 HASHED, DIMS, BITS = 4096, 4, 15
-CACHE_WORDS = 200_000
+#: Bounds of a worker's cache of words: its bytes, the characters of a word, and what an entry takes beside its characters.
+CACHE_BYTES, CACHE_WORD, ENTRY_BYTES = 96 << 20, 48, 140
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -46,10 +47,36 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+class _Words(dict):
+    """Ids by word in two generations, together bounded by ``CACHE_BYTES``; the frequent words outlive a generation.
+
+    A word of over ``CACHE_WORD`` characters is never kept, so a text without spaces leaves nothing behind.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.encode, self.old, self.bytes = encode, {}, 0
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        if len(word) <= CACHE_WORD:
+            self[word] = ids
+            self.bytes += ENTRY_BYTES + 2 * len(word) + len(ids)
+        return ids
+
+    def turn(self) -> None:
+        """Start a new generation where this one is full; between texts, so it may exceed its half by one text's words."""
+        if self.bytes > CACHE_BYTES // 2:
+            self.old = dict(self)
+            self.clear()
+            self.bytes = 0
+
+
 class WordTokenizer:
     """Ids of whole texts through a cache of space-separated words, whose ids don't depend on their neighbours.
 
-    The cache has two generations, so that frequent words outlive it when it is full.
     Words of letters alone go to the vocabulary's model at once; any other word takes
     the tokenizer's whole path. Lower-casing, which the tokenizer does anyway, comes
     first where it commutes with its normal form.
@@ -61,47 +88,38 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.lower = self.direct("Straße") == self.whole(["Straße"])[0] == self.whole(["straße"])[0]
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.lower = self.direct("Straße") == self.whole("Straße") == self.whole("straße")
+        self.marks = {m: self.whole(m) for m in ".,"}
+        self.folded, self.raw = _Words(self.spelt), _Words(self.whole)
 
-    def whole(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def whole(self, word: str) -> bytes:
+        """Ids by the tokenizer's whole path."""
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
 
     def direct(self, word: str) -> bytes:
         """Ids of a word of letters alone, lower-cased and in its normal form."""
         spelt = word.lower()
         if not spelt.isascii():
             spelt = spelt.encode().decode("latin-1").translate(_BYTE_CHARS)
-        ids = [t.id for t in self.tokenizer.model.tokenize(spelt)]
-        return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
+
+    def spelt(self, word: str) -> bytes:
+        """Ids of a word that is lower-cased and in its normal form already."""
+        if word.isalpha():
+            return self.direct(word)
+        if word[-1:] in self.marks and (base := word[:-1]).isalpha():
+            return self.direct(base) + self.marks[word[-1]]
+        return self.whole(word)
 
     def encode(self, text: str) -> bytes:
-        simple = self.lower and "\u03a3" not in text
-        if simple:
+        words = self.raw
+        if self.lower and "\u03a3" not in text:
             low = text.lower()
-            if simple := text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
-                text = low
-        words = text.replace("\n", " ").split(" ")
-        if len(self.cache) > CACHE_WORDS:
-            self.old, self.cache = self.cache, {}
-        cache, old, hard = self.cache, self.old, []
-        for word in {w for w in words if w not in cache}:
-            if (known := old.get(word)) is not None:
-                cache[word] = known
-            elif simple and word.isalpha():
-                cache[word] = self.direct(word)
-            elif simple and word[-1:] in (".", ",") and (base := word[:-1]).isalpha():
-                cache[word] = (cache.get(base) or old.get(base) or self.direct(base)) + self.mark(word[-1])
-            else:
-                hard.append(word)
-        if hard:
-            cache.update(zip(hard, self.whole(hard), strict=True))
-        return b"".join(map(cache.__getitem__, words))
-
-    @functools.cache  # noqa: B019  two marks of a tokenizer that lives as long as its worker
-    def mark(self, mark: str) -> bytes:
-        return self.whole([mark])[0]
+            if text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
+                text, words = low, self.folded
+        words.turn()
+        return b"".join(map(words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @functools.lru_cache(2)
@@ -109,9 +127,11 @@ def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-@functools.cache
-def _projection() -> np.ndarray:
-    return np.random.default_rng(3).standard_normal((HASHED, DIMS)).astype(np.float32)
+@functools.lru_cache(2)
+def _projection(ids: int) -> np.ndarray:
+    """What each token id adds to a document's projected vector: its bucket's row of the projection."""
+    buckets = (np.arange(ids, dtype=np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - (HASHED.bit_length() - 1))
+    return np.random.default_rng(3).standard_normal((HASHED, DIMS)).astype(np.float32)[buckets]
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -142,13 +162,12 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def document_keys(ids: list[np.ndarray]) -> np.ndarray:
-    """Hilbert key of each document's projected direction."""
-    projection, sums = _projection(), np.zeros((len(ids), DIMS))
+def document_keys(ids: list[np.ndarray], vocabulary: int = 1 << 16) -> np.ndarray:
+    """Hilbert key of each document's projected direction; ids are below ``vocabulary``."""
+    projection, sums = _projection(vocabulary), np.zeros((len(ids), DIMS))
     for k, x in enumerate(ids):
-        for i in range(0, len(x), 1 << 18):
-            hashed = (x[i : i + (1 << 18)].astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(20)
-            sums[k] += np.bincount(hashed, minlength=HASHED) @ projection if len(hashed) > HASHED else projection[hashed].sum(axis=0)
+        for i in range(0, len(x), 1 << 16):
+            sums[k] += projection[x[i : i + (1 << 16)]].sum(axis=0, dtype=np.float64)
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
     unit = np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)
     return hilbert_keys(np.clip((unit + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.uint64), BITS)
@@ -164,7 +183,7 @@ def tokenized(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 ids = [t.encode(x or "") + end for x in part.column(1).to_pylist()]
-                keys = document_keys([np.frombuffer(x, t.kind) for x in ids])
+                keys = document_keys([np.frombuffer(x, t.kind) for x in ids], max(t.tokenizer.get_vocab_size(), END_ID + 1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(keys)], names=["doc_id", "ids", "key"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, key long")
