@@ -11,9 +11,12 @@ on the driver; only its weights, one for each feature seen there, are broadcast.
 
 Defined results: null or empty html has the empty text. Scripts, styles, comments and
 titles are markup, not blocks. White space is what Unicode calls so. A page that ends
-inside a tag, a comment or a script loses that unfinished part. Null page_ids, urls and
-repeated rows are passed on; an empty table gives no rows; extra columns are ignored.
-Pages are read whole.
+inside a tag, a comment, a script or a style loses that unfinished part; of any other
+element whose content is left out, such as svg or object, the tag alone goes where it is
+closed by itself or never closed. A quote counts in a tag only after an equals sign; a tag
+whose quote never ends goes as far as its first ``>``. Null page_ids, urls and repeated
+rows are passed on; an empty table gives no rows; extra columns are ignored. Pages are
+read whole, in a time that grows with their length, however deep they are nested.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 import functools
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,23 +35,44 @@ from pyspark.sql import functions as F
 from quire.llm.labelled_pages import Page
 
 TRAIN_PAGES, ITERATIONS, RIDGE = 1000, 160, 3e-5
-RAW = "script|style|noscript|template|title|svg|iframe|object|canvas|xmp|noembed|noframes"
+#: Elements whose content is no text of the page; of the first ones, also where the page ends before they do.
+CODE = frozenset("script style".split())
+RAW = CODE | frozenset("noscript template title svg iframe object canvas xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q ruby rt rp s samp small span strike strong sub sup time tt u var wbr input br".split())
 #: Elements that an opening tag of the same group closes, up to the nearest element of the fence.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SECTIONS = frozenset("article main nav aside footer header form section body".split())
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^>]*\Z", re.S | re.I)
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+"""
+#: A comment; a tag, by the quotes of its attributes or, where one never ends, up to the first ``>``; other markup; what a page ends in.
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<own>(?:(?=[\s/>]){_ATTRIBUTES}(?=>))|[^>]*+)>|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|</?[a-zA-Z][^>]*+\Z", re.S)
 NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
 
 
 class Block(NamedTuple):
     text: str
-    tags: tuple[str, ...]
-    names: frozenset[str]
+    place: Place
     link_chars: int
-    own: frozenset[str]  # the names of the nearest element that has some
+
+
+class Place:
+    """An open element with what its blocks inherit; where it adds nothing, the sets are its parent's own."""
+
+    __slots__ = ("tag", "tags", "names", "named", "own", "near", "parent", "fence")
+
+    def __init__(self, tag: str, attributes: str, above: Place | None, depth: int, known: frozenset[str] | None) -> None:
+        found = _names(attributes) if attributes else frozenset()
+        names = found if known is None else found & known
+        tags, all_names = (above.tags, above.names) if above else (frozenset(), frozenset())
+        self.tag = tag
+        self.tags = tags if tag in tags or not tag else tags | {tag}
+        self.names = all_names if names <= all_names else all_names | names
+        self.named = bool(found) or above is not None and above.named
+        self.own = names if found or above is None else above.own  # the names of the nearest element that has some
+        self.near = tag if tag in SECTIONS else above.near if above else "none"
+        self.parent = tag if tag and tag not in INLINE else above.parent if above else "none"
+        self.fence = depth if tag not in INLINE else above.fence if above else -1  # where the nearest element is that isn't inline
 
 
 @functools.lru_cache(4096)
@@ -58,85 +82,114 @@ def _names(attributes: str) -> frozenset[str]:
     return frozenset(w.lower() for w in WORD.findall(found))
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order, those without text left out."""
+class Tree:
+    """The open elements of a page, and where those of each tag are among them."""
+
+    def __init__(self, known: frozenset[str] | None) -> None:
+        self.known, self.stack, self.at = known, [Place("", "", None, -1, known)], {}
+
+    def top(self) -> Place:
+        return self.stack[-1]
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of some tags, 0 where there is none."""
+        return max((at[-1] for t in tags if (at := self.at.get(t))), default=0)
+
+    def open(self, tag: str, attributes: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(Place(tag, attributes, self.top(), len(self.stack), self.known))
+
+    def cut(self, depth: int) -> None:
+        """Close the elements from a place on."""
+        for place in self.stack[depth:]:
+            self.at[place.tag].pop()
+        del self.stack[depth:]
+
+    def close(self, tag: str) -> None:
+        depth = self.last([tag])
+        if depth and (tag not in INLINE or depth > self.top().fence):
+            self.cut(depth)
+
+
+def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page in order, those without text left out; of the names, only the ``known`` ones if given."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
-    parts: list[str] = []
-    links, at, anchors = 0, 0, 0
+    tree, parts = Tree(known), []
+    links, at = 0, 0
+    never: set[str] = set()  # elements that aren't closed in what is left
 
     def flush() -> None:
         nonlocal links
         if parts and (text := " ".join("".join(parts).split())):
-            out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack)), links, next((n for _, n in reversed(stack) if n), frozenset())))
+            out.append(Block(text, tree.top(), links))
         parts.clear()
         links = 0
 
-    def close(depth: int) -> None:
-        nonlocal anchors
-        anchors -= sum(t == "a" for t, _ in stack[depth:])
-        del stack[depth:]
-
     def say(raw: str) -> None:
         nonlocal links
         text = html.unescape(raw) if "&" in raw else raw
         parts.append(text)
-        if anchors:
+        if tree.at.get("a"):
             links += len(text)
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             say(page[at : m.start()])
         at = m.end()
-        tag = m[3]
-        if tag is None:
+        if m["tag"] is None:
+            continue
+        tag, attributes = m["tag"].lower(), m["own"]
+        if tag in RAW and not m["end"]:
+            if tag not in CODE and attributes.endswith("/"):
+                continue
+            if tag not in never and (closed := _closing(tag).search(page, at)):
+                at = closed.end()
+            elif tag in CODE:
+                at = len(page)
+            else:
+                never.add(tag)
+            continue
+        if tag in RAW:
             continue
-        tag = tag.lower()
         if tag not in INLINE:
             flush()
         elif tag in ("br", "img", "input"):
             parts.append(" ")
-        if m[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None and (tag not in INLINE or all(t in INLINE for t, _ in stack[depth:])):
-                close(depth)
+        if m["end"]:
+            tree.close(tag)
             continue
         if tag in VOID:
             continue
-        if tag not in INLINE and (depth := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)) is not None:
-            close(depth)
+        if tag not in INLINE and (depth := tree.last(["p"])):
+            tree.cut(depth)
         if tag in CLOSES:
             group, fence = CLOSES[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in fence:
-                    break
-                if stack[i][0] in group:
-                    close(i)
-        if not m[4].endswith("/"):
-            stack.append((tag, _names(m[4]) if m[4] else frozenset()))
-            anchors += tag == "a"
+            while (depth := tree.last(group)) > tree.last(fence):
+                tree.cut(depth)
+        if not attributes.endswith("/"):
+            tree.open(tag, attributes)
     if at < len(page):
         say(page[at:])
     flush()
     return out
 
 
-def _near(tags: tuple[str, ...]) -> str:
-    return next((t for t in reversed(tags) if t in SECTIONS), "none")
+@functools.cache
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)
 
 
 def block_features(block: Block, i: int, n: int) -> list[str]:
-    text, tags = block.text, block.tags
+    text, place = block.text, block.place
     size, words = len(text), text.count(" ") + 1
-    parent = next((t for t in reversed(tags) if t not in INLINE), "none")
-    near = _near(tags)
-    out = [f"tag:{t}" for t in set(tags)]
-    out += [f"name:{w}" for w in block.names]
-    out += [f"own:{w}" for w in block.own]
+    near, parent = place.near, place.parent
+    out = [f"tag:{t}" for t in place.tags]
+    out += [f"name:{w}" for w in place.names]
+    out += [f"own:{w}" for w in place.own]
     out += [f"near:{near}", f"parent:{parent}", f"near+parent:{near}+{parent}"]
     out += ["bias", f"size:{size.bit_length()}", f"words:{words.bit_length()}", f"links:{min(4, 5 * block.link_chars // size)}"]
     out.append(f"end:{text[-1] if text[-1] in '.!?,:;' else 'none'}")
-    if not block.names:
+    if not place.named:
         out.append("nameless")
     if "©" in text or text[:9] == "Copyright":
         out.append("copyright")
@@ -149,6 +202,10 @@ class Model(NamedTuple):
     unary: np.ndarray  # features: score of label 1 against label 0
     edge: np.ndarray  # 2 x 2: from a label to the next
 
+    def names(self) -> frozenset[str]:
+        """The names that have a weight."""
+        return frozenset(x.partition(":")[2] for x in self.index if x.startswith(("name:", "own:")))
+
 
 def _scores(model: Model, features: list[list[str]]) -> list[float]:
     get, w = model.index.get, model.unary
@@ -231,8 +288,8 @@ def default_model(pages: int = TRAIN_PAGES) -> Model:
     return train([x for seed in range(pages) if (x := labelled(seed))[1]])
 
 
-def main_text(page: str | None, model: Model) -> str:
-    blocks = leaf_blocks(page) if page else []
+def main_text(page: str | None, model: Model, known: frozenset[str] | None = None) -> str:
+    blocks = leaf_blocks(page, model.names() if known is None else known) if page else []
     labels = viterbi(_scores(model, [block_features(b, i, len(blocks)) for i, b in enumerate(blocks)]), model.edge)
     return "\n".join(b.text for b, y in zip(blocks, labels, strict=True) if y)
 
@@ -242,10 +299,11 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = shared.value, shared.value.names()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                texts = [main_text(x, shared.value) for x in part.column(2).to_pylist()]
+                texts = [main_text(x, own, known) for x in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
