@@ -11,7 +11,9 @@ Defined results: a text that is null or has no letter gets ``und`` with score 0.
 Empty training data: every text with a letter gets ``und`` too. Ties go to the
 language that sorts first. Repeated rows are scored independently; rows whose
 language is null train nothing; extra columns are ignored. Whole texts are
-scored, in slices of ``SLICE`` characters whose sums are added.
+scored, in slices of ``SLICE`` characters whose sums are added; a slice looks back
+over its border, so that a text's features don't depend on where it is cut. The
+pipeline's stage keeps every document where no document is labelled.
 """
 
 from __future__ import annotations
@@ -76,8 +78,10 @@ def _features(codes: np.ndarray) -> np.ndarray:
 
 
 def _slices(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """The features of a text, a slice of positions at a time."""
     for i in range(0, len(codes), SLICE):
-        yield codes[i : i + SLICE]
+        back = min(i, 2)
+        yield _features(codes[i - back : i + SLICE])[:, back:].ravel()
 
 
 def _texts(column: pa.ChunkedArray | pa.Array, rows: int = 256) -> Iterator[list]:
@@ -96,8 +100,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at += 1
                 if not text:
                     continue
-                for codes in _slices(_fold(text)):
-                    counts = np.bincount(_features(codes).ravel(), minlength=BUCKETS)
+                for features in _slices(_fold(text)):
+                    counts = np.bincount(features, minlength=BUCKETS)
                     sums[lang] = sums[lang] + counts if lang in sums else counts
     for lang, counts in sums.items():
         yield pa.RecordBatch.from_pydict({"lang": [lang], "counts": [counts.astype("<i8").tobytes()]}, schema=pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
@@ -136,39 +140,41 @@ def _score_block(blocks: list[tuple[int, np.ndarray]], logp: np.ndarray, sums: n
     np.add.at(sums, [row for row, _ in blocks], np.add.reduceat(gathered, offsets, axis=0, dtype=np.float64))
 
 
+def predict(column: pa.Array | pa.ChunkedArray, model: tuple[list[str], np.ndarray, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of a column."""
+    langs, logp, prior = model
+    n = len(column)
+    if not langs:
+        return [UNDETERMINED] * n, np.zeros(n)
+    sums, seen, at, held, size = np.zeros((n, len(langs))), np.zeros(n, bool), 0, [], 0
+    for texts in _texts(column):
+        for text in texts:
+            for features in _slices(_fold(text)) if text else ():
+                seen[at] = True
+                held.append((at, features))
+                size += len(features)
+                if size >= SLICE:
+                    _score_block(held, logp, sums)
+                    held, size = [], 0
+            at += 1
+    if held:
+        _score_block(held, logp, sums)
+    sums += prior
+    # the posterior, tempered by the n-grams' overlap: each character counts in three of them
+    p = np.exp((sums - sums.max(axis=1, keepdims=True)) / 3)
+    pred = [langs[i] if s else UNDETERMINED for i, s in zip(sums.argmax(axis=1), seen, strict=True)]
+    return pred, np.where(seen, 1 / p.sum(axis=1), 0.0)
+
+
 def classify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
     """All columns of ``docs`` but lang, source and n_chars are left out: doc_id, text -> doc_id, lang_pred, score."""
-    langs, logp, prior = model
-    shared = docs.sparkSession.sparkContext.broadcast((langs, logp, prior))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, logp, prior = shared.value
         for batch in batches:
-            n = batch.num_rows
-            sums, seen, at, held, size = np.zeros((n, len(langs))), np.zeros(n, bool), 0, [], 0
-            for texts in _texts(batch.column("text")):
-                for text in texts:
-                    for codes in _slices(_fold(text)) if text and langs else ():
-                        seen[at] = True
-                        held.append((at, _features(codes).ravel()))
-                        size += len(held[-1][1])
-                        if size >= SLICE:
-                            _score_block(held, logp, sums)
-                            held, size = [], 0
-                    at += 1
-            if held:
-                _score_block(held, logp, sums)
-            if langs:
-                sums += prior
-                best = sums.argmax(axis=1)
-                # the posterior, tempered by the n-grams' overlap: each character counts in three of them
-                p = np.exp((sums - sums.max(axis=1, keepdims=True)) / 3)
-                score = 1 / p.sum(axis=1)
-                pred = [langs[i] if s else UNDETERMINED for i, s in zip(best, seen, strict=True)]
-            else:
-                score, pred = np.zeros(n), [UNDETERMINED] * n
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(pred), pa.array(np.where(seen, score, 0.0))], schema=schema)
+            pred, score = predict(batch.column("text"), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(pred, pa.string()), pa.array(score)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -188,28 +194,20 @@ MIN_SCORE = 0.4
 
 
 def stage_language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language can be told; ``lang`` stays as given, or is filled with the prediction where null."""
+    """Keep the documents whose language can be told; ``lang`` stays as given, or is filled with the prediction where null.
+
+    Without any labelled document nothing can be told, and every document stays.
+    """
     model = train(docs.where(fold_of("doc_id") != 2))
     shared = spark.sparkContext.broadcast(model)
     names = docs.columns
-    schema = docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, logp, prior = shared.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            pred, ok = [], []
-            for text in texts:
-                sums, any_letter = np.array(prior), False
-                for codes in _slices(_fold(text)) if text and langs else ():
-                    any_letter = True
-                    sums += logp[_features(codes).ravel()].sum(axis=0, dtype=np.float64)
-                best = int(sums.argmax()) if langs else -1
-                score = 1 / np.exp((sums - sums.max()) / 3).sum() if any_letter else 0.0
-                pred.append(langs[best] if any_letter else UNDETERMINED)
-                ok.append(any_letter and score >= MIN_SCORE)
+            pred, score = predict(batch.column("text"), shared.value)
+            ok = np.array([p != UNDETERMINED for p in pred], bool) & (score >= MIN_SCORE) if shared.value[0] else np.ones(batch.num_rows, bool)
             given = batch.column("lang").to_pylist()
             out = [pa.array([g if g is not None else p for g, p in zip(given, pred, strict=True)], pa.string()) if c == "lang" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(ok))
 
-    return docs.mapInArrow(keep, schema)
+    return docs.mapInArrow(keep, docs.schema)
