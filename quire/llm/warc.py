@@ -7,9 +7,11 @@ per record. Each archive is a row; Spark's text writer puts each row in a file o
 its own, with an empty skippable frame as the line separator, so archives reach any
 file system that Spark can write and survive lost executors by its commit protocol.
 
-Reading: ``read_archives`` takes the dictionary from the leading frame, decodes
-frame by frame and validates headers, block lengths, payload lengths and digests;
-a damaged record raises ``ValueError``.
+Reading: ``read_archives`` takes the dictionary from the leading frame, as it is or
+compressed itself, decodes frame by frame, also frames that don't say how long their
+content is, and validates headers, block lengths, payload lengths and digests. A
+damaged frame or record raises ``ValueError``, and so does a dictionary that comes
+after the first frame. Other skippable frames are passed over.
 
 Defined results: null html is an empty payload; null url gives no target URI.
 A null page_id is written and read as null; it is never referred to while a number
@@ -66,6 +68,13 @@ def _page_of(urn: str) -> int | None:
 
 def parse_record(data: bytes) -> dict:
     """The fields of one record, after checks of its headers, lengths and digest."""
+    try:
+        return _parse(data)
+    except (KeyError, UnicodeDecodeError) as e:
+        raise ValueError(f"a record without a header that it needs, or not in UTF-8: {e}") from e
+
+
+def _parse(data: bytes) -> dict:
     head, mark, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not mark or lines[0] != "WARC/1.1":
@@ -128,6 +137,28 @@ def _frame_end(data: memoryview, at: int) -> int:
     return at
 
 
+def records(data: memoryview) -> Iterator[dict]:
+    """The records of one archive, in order."""
+    decoder = zstandard.ZstdDecompressor()
+    for i, (magic, frame) in enumerate(frames(data)):
+        try:
+            if magic == DICT_MAGIC:
+                if i:
+                    raise ValueError("a dictionary behind the first frame")
+                plain = bytes(frame)
+                if plain[:4] == zstandard.FRAME_HEADER:
+                    plain = decoder.decompressobj().decompress(plain)
+                decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(plain))
+            elif magic == 0xFD2FB528:
+                content = decoder.decompressobj()
+                record = content.decompress(frame)
+                if not content.eof:
+                    raise ValueError("a frame that ends early")
+                yield parse_record(record)
+        except zstandard.ZstdError as e:
+            raise ValueError(f"a damaged frame: {e}") from e
+
+
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of pages; empty where there are too few to train one."""
     fit = pages.where(F.octet_length("html").between(64, SAMPLE_BYTES))
@@ -185,16 +216,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                data, decoder, rows, size = memoryview(batch.column(0)[i].as_buffer()).cast('B'), zstandard.ZstdDecompressor(), [], 0
-                for magic, frame in frames(data):
-                    if magic == DICT_MAGIC:
-                        decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(bytes(frame)))
-                    elif magic == 0xFD2FB528:
-                        rows.append(parse_record(decoder.decompress(frame)))
-                        size += len(rows[-1]["payload"] or b"")
-                        if size > 4 << 20:
-                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                            rows, size = [], 0
+                rows, size = [], 0
+                for record in records(memoryview(batch.column(0)[i].as_buffer()).cast("B")):
+                    rows.append(record)
+                    size += len(record["payload"] or b"")
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
