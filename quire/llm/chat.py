@@ -1,8 +1,8 @@
 """Chat formatting with Spark expressions only.
 
 ``format_conversations`` sorts the collected turn structs of a conversation,
-merges adjacent turns of one role under one header and concatenates the
-template. ``read_back`` parses such strings into turns again.
+merges adjacent turns of one role under one header by aggregating the array and
+concatenates the template. ``read_back`` parses such strings into turns again.
 
 Template, per run of adjacent turns of one role::
 
@@ -21,10 +21,13 @@ must fit a task; texts are never cut.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BEGIN, HEAD, BODY, SEP, END = "<s>", "[INST]", "[/INST]", "<sep>", "</s>"
+CHUNK = 128
 
 
 def escape(c: Column) -> Column:
@@ -55,40 +58,64 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
         "conv_id",
         F.transform("turns", lambda x: F.struct(escape(x.role).alias("role"), escape(x.text).alias("text"))).alias("turns"),
     )
-    return escaped.select("conv_id", *_layout(loss_role))
+    return escaped.select("conv_id", _merged(F.col("turns")).alias("runs")).select("conv_id", *_layout(loss_role))
+
+
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once: the variable of a transform over one element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _chunks(items: Column) -> Column:
+    """``items`` in arrays of at most ``CHUNK``, since what grows by an element costs its length each time."""
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(starts, lambda c: F.slice(items, c * CHUNK + 1, CHUNK))
+
+
+def running_sums(numbers: Column) -> Column:
+    """The sum of the elements before each one of an array of longs."""
+
+    def within(total: Column, chunk: Column) -> Column:
+        begin = F.struct(total.alias("sum"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        return F.aggregate(chunk, begin, lambda a, x: F.struct((a.sum + x).alias("sum"), F.array_append(a.out, a.sum).alias("out")))
+
+    begin = F.struct(F.lit(0).cast("long").alias("sum"), F.expr("cast(array() as array<array<bigint>>)").alias("out"))
+    step = lambda a, chunk: _bind(within(a.sum, chunk), lambda b: F.struct(b.sum.alias("sum"), F.array_append(a.out, b.out).alias("out")))
+    return F.aggregate(_chunks(numbers), begin, step, lambda a: F.flatten(a.out))
+
+
+def _merged(turns: Column) -> Column:
+    """Runs (role, texts): adjacent turns of one role merge as the turns are aggregated, as far as a chunk goes."""
+    none = F.expr("cast(array() as array<struct<role: string, texts: array<string>>>)")
+    nothing = F.struct(none.alias("runs"), F.lit(None).cast("string").alias("role"), F.expr("cast(array() as array<string>)").alias("texts"))
+    closed = lambda a: F.when(F.size(a.texts) > 0, F.array_append(a.runs, F.struct(a.role.alias("role"), a.texts.alias("texts")))).otherwise(a.runs)
+
+    def merge(a: Column, t: Column) -> Column:
+        same = (F.size(a.texts) > 0) & (a.role == t.role)
+        runs, texts = F.when(same, a.runs).otherwise(closed(a)), F.when(same, F.array_append(a.texts, t.text)).otherwise(F.array(t.text))
+        return F.struct(runs.alias("runs"), t.role.alias("role"), texts.alias("texts"))
+
+    return F.flatten(F.transform(_chunks(turns), lambda c: F.aggregate(c, nothing, merge, closed)))
 
 
 def _layout(loss_role: str) -> list[Column]:
-    """The template over ``turns``: each turn opens a run, joins the last one, and closes it where the next role differs."""
-    n = F.size("turns")
-    at = F.sequence(F.lit(0), n - 1)
-    role = lambda i: F.get("turns", i).role
-    opens = lambda i: (i == 0) | ~role(i).eqNullSafe(role(i - 1))
-    closes = lambda i: (i == n - 1) | ~role(i).eqNullSafe(role(i + 1))
-    head = lambda i: F.when(opens(i), F.concat(F.lit(BEGIN + HEAD), role(i), F.lit(BODY))).otherwise(F.lit(SEP))
-    tail = lambda i: F.when(closes(i), F.lit(END)).otherwise(F.lit(""))
-    text = lambda i: F.get("turns", i).text
-    formatted = F.array_join(F.transform(at, lambda i: F.concat(head(i), text(i), tail(i))), "")
-    lengths = F.transform(
-        at,
-        lambda i: F.struct(
-            F.length(head(i)).cast("long").alias("head"),
-            F.length(text(i)).cast("long").alias("body"),
-            F.length(tail(i)).cast("long").alias("tail"),
-            (role(i) == escape(F.lit(loss_role))).alias("loss"),
-        ),
-    )
-    start = F.expr("cast(struct(0L as next, cast(array() as array<struct<start: bigint, length: bigint>>) as spans) as struct<next: bigint, spans: array<struct<start: bigint, length: bigint>>>)")
-    spans = F.aggregate(
-        lengths,
-        start,
-        lambda acc, x: F.struct(
-            (acc["next"] + x.head + x.body + x.tail).alias("next"),
-            F.when(x.loss, F.concat(acc.spans, F.array(F.struct((acc["next"] + x.head).alias("start"), x.body.alias("length"))))).otherwise(acc.spans).alias("spans"),
-        ),
-        lambda acc: acc.spans,
-    )
-    return [formatted.alias("formatted"), spans.alias("loss_spans")]
+    """The template over ``runs``; a run that goes on over the border of a chunk has its header in front and its end behind alone."""
+    role = lambda i: F.get("runs", i).role
+    goes_on = lambda i, j: role(i).eqNullSafe(role(j))
+    head = lambda i: F.when((i > 0) & goes_on(i, i - 1), F.lit(SEP)).otherwise(F.concat(F.lit(BEGIN + HEAD), role(i), F.lit(BODY)))
+    tail = lambda i: F.when((i < F.size("runs") - 1) & goes_on(i, i + 1), F.lit("")).otherwise(F.lit(END))
+    body = lambda r: F.array_join(r.texts, SEP)
+    formatted = F.array_join(F.transform("runs", lambda r, i: F.concat(head(i), body(r), tail(i))), "")
+    lengths = F.transform("runs", lambda r, i: (F.length(head(i)) + F.length(body(r)) + F.length(tail(i))).cast("long"))
+
+    def spans(r: Column, i: Column, begins: Column) -> Column:
+        begin = F.get(begins, i) + F.length(head(i))
+        inside = running_sums(F.transform(r.texts, lambda x: (F.length(x) + len(SEP)).cast("long")))
+        return _bind(F.struct(begin.alias("begin"), inside.alias("inside")), lambda p: F.transform(r.texts, lambda x, k: F.struct((p.begin + F.get(p.inside, k)).alias("start"), F.length(x).cast("long").alias("length"))))
+
+    none = F.expr("cast(array() as array<struct<start: bigint, length: bigint>>)")
+    own = lambda begins: F.flatten(F.transform("runs", lambda r, i: F.when(r.role == escape(F.lit(loss_role)), spans(r, i, begins)).otherwise(none)))
+    return [formatted.alias("formatted"), _bind(running_sums(lengths), own).alias("loss_spans")]
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
