@@ -4,7 +4,9 @@ Texts become 64-bit fingerprints; equal fingerprints collapse to one node. A
 vantage-point tree over a bounded sample (``SAMPLE_PER_SHARD`` nodes a shard) cuts
 Hamming space into shards. A node lives in one shard and is also sent, as a query,
 to those shards that its ball of radius ``MAX_BITS`` touches by the triangle
-bounds; of two shards only one direction is sent. Inside a shard a local tree,
+bounds; of two shards only one direction is sent. A tree has ``MAX_SHARDS`` shards at
+most, so that its broadcast is bounded; where that leaves shards too large, each of them
+gets a tree of its own, which travels with the shard's rows, level by level. Inside a shard a local tree,
 again with triangle bounds, meets all pairs, which are folded into a forest at
 once: a shard emits at most one edge for each of its nodes, never its pairs.
 Connected components join the shards' forests.
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import scratch
@@ -30,7 +32,7 @@ from quire.llm import nearcopies
 from quire.llm.components import connected_components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
-#: Nodes that a shard holds about, sampled nodes for each shard, and most shards of one tree.
+#: Nodes that a shard holds about (one of over four times as many is cut again), sampled nodes for each shard, and most shards of one tree.
 SHARD_NODES, SAMPLE_PER_SHARD, MAX_SHARDS = 2048, 16, 4096
 LEAF, CELLS = 48, 1 << 19
 
@@ -104,10 +106,14 @@ def build_tree(sample: np.ndarray, shards: int) -> list[tuple]:
     return nodes
 
 
-def route(nodes: list[tuple], fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, shard and whether it lives there, for the home of each fingerprint and the shards that its ball touches."""
+def route(nodes: list[tuple], fps: np.ndarray, lives_here: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, shard and whether it lives there, for the home of each fingerprint and the shards that its ball touches.
+
+    Fingerprints that don't live here, queries from elsewhere, have no home and go to all shards that they touch.
+    """
     rows, shards, home = [], [], []
-    stack = [(0 if nodes else ~0, np.arange(len(fps)), np.ones(len(fps), bool))]
+    here = np.ones(len(fps), bool) if lives_here is None else lives_here
+    stack = [(0 if nodes else ~0, np.arange(len(fps)), here)]
     while stack:
         at, idx, own = stack.pop()
         if not len(idx):
@@ -127,7 +133,7 @@ def route(nodes: list[tuple], fps: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     lives = np.zeros(len(fps), np.int64)
     lives[rows[home]] = shards[home]
     there = lives[rows]
-    sent = home | np.where((there + shards) % 2 == 1, there < shards, there > shards)  # one direction of each two shards
+    sent = home | ~here[rows] | np.where((there + shards) % 2 == 1, there < shards, there > shards)  # one direction of each two shards
     return rows[sent], shards[sent], home[sent]
 
 
@@ -187,24 +193,85 @@ def _shard_edges(table: pa.Table) -> pa.Table:
     return pa.table({"u": everything[linked].view(np.int64), "v": everything[roots[linked]].view(np.int64)})
 
 
-def link(nodes: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all fingerprints of ``nodes`` (fp, distinct) within MAX_BITS of each other."""
-    spark = nodes.sparkSession
-    n = nodes.count()
+ROUTED = "shard long, fp long, home boolean"
+
+
+def _routed(shard: np.ndarray, fps: np.ndarray, home: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(shard), 1 << 16):
+        s = slice(i, i + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(shard[s].astype(np.int64)), pa.array(fps[s]), pa.array(home[s])], names=["shard", "fp", "home"])
+
+
+def _uniform(level: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("shards"), F.lit(level), "fp"), F.lit(1 << 20)) / float(1 << 20)
+
+
+def _first_level(nodes: DataFrame, n: int) -> DataFrame:
+    """The nodes in shards by one broadcast tree."""
     shards = min(MAX_SHARDS, max(1, n // SHARD_NODES))
-    uniform = F.pmod(F.xxhash64(F.lit("shards"), "fp"), F.lit(1 << 20)) / float(1 << 20)
-    sample = nodes.where(uniform < SAMPLE_PER_SHARD * shards / max(n, 1)).select("fp").collect() if shards > 1 else []  # about 64 thousand longs at most
-    tree = spark.sparkContext.broadcast(build_tree(np.sort(np.array([r.fp for r in sample], np.int64)).view(np.uint64), shards) if sample else [])
+    sample = nodes.where(_uniform(0) < SAMPLE_PER_SHARD * shards / max(n, 1)).select("fp").collect() if shards > 1 else []  # about 64 thousand longs at most
+    tree = nodes.sparkSession.sparkContext.broadcast(build_tree(np.sort(np.array([r.fp for r in sample], np.int64)).view(np.uint64), shards) if sample else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy().astype(np.int64)
             rows, shard, home = route(tree.value, fps.view(np.uint64))
-            for i in range(0, len(rows), 1 << 16):
-                s = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(shard[s].astype(np.int32)), pa.array(fps[rows[s]]), pa.array(home[s])], names=["shard", "fp", "home"])
+            yield from _routed(shard, fps[rows], home)
+
+    return nodes.select("fp").mapInArrow(run, ROUTED)
 
-    routed = nodes.select("fp").mapInArrow(run, "shard int, fp long, home boolean")
+
+def _next_level(routed: DataFrame, large: DataFrame, level: int) -> DataFrame:
+    """Cut the ``large`` shards (shard, n) again; a shard's tree goes first among its rows, which stream behind it."""
+    nodes, most = SHARD_NODES, MAX_SHARDS
+
+    def tree_of(table: pa.Table) -> pa.Table:
+        fps, n = np.sort(table.column("fp").to_numpy().astype(np.int64)).view(np.uint64), table.column("n")[0].as_py()
+        flat = np.array([(np.uint64(p).view(np.int64), radius, inside, outside) for p, radius, inside, outside in build_tree(fps, min(most, n // nodes))], np.int64)
+        return pa.table({"shard": table.column("shard").slice(0, 1), "tree": pa.array([flat.tobytes()], pa.binary())})
+
+    rate = SAMPLE_PER_SHARD * F.least(F.lit(MAX_SHARDS), F.col("n") / SHARD_NODES) / F.col("n")
+    sample = routed.where("home").join(large, "shard").where(_uniform(level) < rate).select("shard", "fp", "n")
+    trees = sample.groupBy("shard").applyInArrow(tree_of, "shard long, tree binary")
+    marked = routed.withColumn("tree", F.lit(None).cast("binary")).unionByName(trees.select("shard", F.lit(None).cast("long").alias("fp"), F.lit(None).cast("boolean").alias("home"), "tree"))
+    ordered = marked.repartition("shard").sortWithinPartitions("shard", F.col("tree").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tree = None, []
+        for batch in batches:
+            shards = batch.column("shard").to_numpy()
+            edges = [0, *(np.nonzero(shards[1:] != shards[:-1])[0] + 1).tolist(), len(shards)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if i == j:
+                    continue
+                if shards[i] != at:
+                    at, tree = shards[i], []
+                flat = batch.column("tree")[i].as_py()
+                if flat is not None:
+                    tree = [(np.int64(p).view(np.uint64), r, a, b) for p, r, a, b in np.frombuffer(flat, np.int64).reshape(-1, 4).tolist()]
+                    i += 1
+                fps, home = batch.column("fp").slice(i, j - i).to_numpy(zero_copy_only=False).astype(np.int64), batch.column("home").slice(i, j - i).to_numpy(zero_copy_only=False).astype(bool)
+                rows, shard, lives = route(tree, fps.view(np.uint64), home)
+                yield from _routed(at * most + shard, fps[rows], lives)
+
+    return ordered.mapInArrow(run, ROUTED)
+
+
+def link(nodes: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect all fingerprints of ``nodes`` (fp, distinct) within MAX_BITS of each other."""
+    n = nodes.count()
+    routed = _first_level(nodes, n)
+    if n > MAX_SHARDS * SHARD_NODES:
+        before = n
+        for level in range(1, 5):
+            routed = scratch.materialize(routed, "simhash-routed")
+            # shards beyond a level's bound; there are at most n / (4 SHARD_NODES) of them, a row each
+            large = scratch.materialize(routed.where("home").groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 4 * SHARD_NODES), "simhash-large")
+            most = large.agg(F.max("n")).first()[0]
+            if most is None or most >= before:
+                break  # none is left, or equal distances alone
+            before = most
+            routed = _next_level(routed, large, level)
     return routed.groupBy("shard").applyInArrow(_shard_edges, "u long, v long")
 
 

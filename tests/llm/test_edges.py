@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import struct
 import time
 
@@ -11,8 +12,8 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, htmlcrf, langid, packing, warc
-from tests.llm.test_text_ops import check_pieces, encoding
+from quire.llm import bpe, chat, htmlcrf, langid, packing, simhash, warc
+from tests.llm.test_text_ops import brute_components, check_pieces, encoding
 
 
 # --- language ID ---------------------------------------------------------------------------------
@@ -195,3 +196,22 @@ def test_bpe_of_long_words(spark):
     for r in bpe.decode(bpe.encode(docs)).collect():
         assert list(r.ids) == e.encode_ordinary(f"{words[r.doc_id]} end") and bytes(r.decoded).decode() == f"{words[r.doc_id]} end"
     assert bpe.encode(docs.withColumn("codes", F.lit(1)).where("false")).count() == 0
+
+
+# --- SimHash -------------------------------------------------------------------------------------
+
+
+def test_simhash_shards_are_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MAX_SHARDS", 3)
+    monkeypatch.setattr(simhash, "SHARD_NODES", 10)
+    levels = []
+    own = simhash._next_level
+    monkeypatch.setattr(simhash, "_next_level", lambda *a: levels.append(a[2]) or own(*a))
+    rng = random.Random(5)
+    centres = [rng.getrandbits(64) for _ in range(40)]
+    fps = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for c in centres for _ in range(15)}
+    rows = [(1000 + k, f) for k, f in enumerate(sorted(fps))]
+    df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in rows], "doc_id long, fp long")
+    found = {r.fp % (1 << 64): r.rep for r in simhash.components(df).collect()}
+    assert found == {f: c for (_, f), c in zip(rows, brute_components(rows), strict=True)}
+    assert len(levels) >= 2
