@@ -139,29 +139,18 @@ def top_products(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     seed = [(r.dim, bytes(r.ids), bytes(r.data)) for r in index.orderBy(F.desc("longest")).limit(1).collect()]  # one bucket, of BUCKET rows at most
     shared = index.sparkSession.sparkContext.broadcast(seed)
 
-    def work(group: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {d: TopK(len(ids), k, np.int64) for d, (ids, _) in group.items()}
-        lengths = {d: np.sqrt((q * q).sum(axis=1)) for d, (_, q) in group.items()}
+    def meet(row: dict, ids: np.ndarray, q: np.ndarray, best: TopK) -> None:
+        length = np.sqrt((q * q).sum(axis=1))
+        own = (row["dim"], row["ids"], row["data"])
+        if not best.begun:
+            best.begun = True
+            for dim, *x in shared.value:
+                if dim == row["dim"]:
+                    search_bucket(Bucket(*x, dim), ids, q, length, best)
+        if own not in shared.value:
+            search_bucket(Bucket(row["ids"], row["data"], row["dim"]), ids, q, length, best)
 
-        def meet(dim: int, ids: bytes, data: bytes) -> None:
-            if dim in group:
-                search_bucket(Bucket(ids, data, dim), *group[dim], lengths[dim], best[dim])
-
-        any_row = False
-        for batch in batches:
-            for i in range(batch.num_rows):
-                if not any_row:
-                    for x in shared.value:
-                        meet(*x)
-                    any_row = True
-                dim, ids, data = (batch.column(c)[i].as_py() for c in ("dim", "ids", "data"))
-                if (dim, ids, data) not in shared.value:
-                    meet(dim, ids, data)
-        for d, top in best.items():
-            if len(top.row):
-                yield pa.RecordBatch.from_arrays([pa.array(group[d][0][top.row]), pa.array(top.id), pa.array(top.score)], names=["query_id", "vec_id", "score"])
-
-    return vectors.search(index, queries, work, "long", k, "mips-found")
+    return vectors.search(index.select("dim", "ids", "data"), queries, meet, np.int64, k, "mips-found")
 
 
 def op10_exact_mips(spark, sf_dir: str) -> DataFrame:
@@ -174,7 +163,7 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  SELECT DISTINCT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5

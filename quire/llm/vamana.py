@@ -5,8 +5,9 @@ In a shard, equal vectors are one node with a list of ids. Two passes over the n
 in random order, in batches: a greedy beam search from the medoid proposes
 neighbours, relaxed distance pruning keeps at most ``DEGREE`` diverse ones, and the
 reverse edges are pruned the same way where they overflow. Graphs are written to the
-shared folder. Each group of queries then runs a beam search of width ``BEAM`` on
-every shard; the answers are scored in double precision on the original vectors.
+shared folder. Each block of queries then runs a beam search of width ``BEAM`` on
+every shard, all of them in one job; the answers are scored in double precision on the
+original vectors.
 
 The index holds every row. Recall of the 5 nearest against brute force is tested to
 be 0.9 at least.
@@ -20,8 +21,6 @@ vectors offer their smallest ids. An empty table gives no rows; extra columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -168,42 +167,48 @@ def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q, x) / (np.sqrt(np.einsum("ij,ij->i", q, q)) * np.sqrt(np.einsum("ij,ij->i", x, x)))
 
 
-def _search_shard(row: dict, ids: np.ndarray, q: np.ndarray, best: TopK, beam: int) -> None:
-    dim = row["dim"]
-    x = np.frombuffer(row["data"], np.float64).reshape(-1, dim)
-    members, starts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["starts"], np.int64)
-    graph = np.frombuffer(row["edges"], np.int32).reshape(len(x), -1)
-    norm = lambda v: ((s := v / np.abs(v).max(axis=1, keepdims=True)) / np.linalg.norm(s, axis=1, keepdims=True)).astype(np.float32)
-    unit, asks = norm(x), norm(q)
-    k = best.k + 1  # a query's own row is there too
-    for i in range(0, len(asks), 512):
-        found, sims = beam_search(unit, graph, row["medoid"], asks[i : i + 512], min(beam, len(x)))
-        # k nodes are enough, as each has an id of its own at least; rounding of the search's cosines is allowed for
-        r, c = np.nonzero((sims > -np.inf) & (sims >= sims[:, [min(k, sims.shape[1]) - 1]] - 1e-5))
-        node, r = found[r, c], r + i
-        score = cosine(q[r], x[node])
-        count = np.minimum(starts[node + 1] - starts[node], k)
-        at = np.repeat(starts[node], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        r, score, near = np.repeat(r, count), np.repeat(score, count), members[at]
-        other = near != ids[r]
-        best.add(r[other], score[other], near[other])
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length one, however long or short they are."""
+    scaled = v / np.abs(v).max(axis=1, keepdims=True)
+    return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
+
+
+class Shard:
+    """A row of the index, ready to be searched."""
+
+    def __init__(self, row: dict) -> None:
+        self.data, self.medoid = row["data"], row["medoid"]
+        self.x = np.frombuffer(row["data"], np.float64).reshape(-1, row["dim"])
+        self.members, self.starts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["starts"], np.int64)
+        self.graph = np.frombuffer(row["edges"], np.int32).reshape(len(self.x), -1)
+        self.unit = _unit(self.x)
+
+    def search(self, ids: np.ndarray, q: np.ndarray, best: TopK, beam: int) -> None:
+        asks, starts = _unit(q), self.starts
+        k = best.k + 1  # a query's own row is there too
+        for i in range(0, len(asks), 512):
+            found, sims = beam_search(self.unit, self.graph, self.medoid, asks[i : i + 512], min(beam, len(self.x)))
+            # k nodes are enough, as each has an id of its own at least; rounding of the search's cosines is allowed for
+            r, c = np.nonzero((sims > -np.inf) & (sims >= sims[:, [min(k, sims.shape[1]) - 1]] - 1e-5))
+            node, r = found[r, c], r + i
+            score = cosine(q[r], self.x[node])
+            count = np.minimum(starts[node + 1] - starts[node], k)
+            at = np.repeat(starts[node], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            r, score, near = np.repeat(r, count), np.repeat(score, count), self.members[at]
+            other = near != ids[r]
+            best.add(r[other], score[other], near[other])
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found on all shards of ``index`` for each row (vec_id, v) of ``queries``."""
+    last: list[Shard] = []  # of a worker: a shard meets one block after another
+
+    def meet(row: dict, ids: np.ndarray, q: np.ndarray, best: TopK) -> None:
+        if not last or last[0].data != row["data"]:
+            last[:] = [Shard(row)]
+        last[0].search(ids, q, best, beam)
 
-    def work(group: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {d: TopK(len(ids), k) for d, (ids, _) in group.items()}
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                if row["dim"] in group:
-                    _search_shard(row, *group[row["dim"]], best[row["dim"]], beam)
-        for d, top in best.items():
-            if len(top.row):
-                yield pa.RecordBatch.from_arrays([pa.array(group[d][0][top.row]), pa.array(top.id), pa.array(top.score)], names=["query_id", "vec_id", "score"])
-
-    return vectors.search(index, queries, work, "double", k, "vamana-found")
+    return vectors.search(index, queries, meet, np.float64, k, "vamana-found")
 
 
 def op7_vamana(spark, sf_dir: str) -> DataFrame:

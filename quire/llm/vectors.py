@@ -1,4 +1,10 @@
-"""What the vector searches share: clean rows, bounded groups of queries, and merging of top-k lists."""
+"""What the vector searches share: clean rows, blocks of queries, and merging of top-k lists.
+
+The stated queries become rows of about ``BLOCK_BYTES`` of vectors. One job pairs each
+block with each row of the index (a shard or bucket); Spark broadcasts the blocks where
+their table is below its own threshold and takes the product of partitions beyond it.
+No vector passes the driver.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +17,8 @@ from pyspark.sql import functions as F
 
 from quire import scratch
 
-#: Bytes of query vectors that are broadcast at once; more queries take more passes over the index.
-GROUP_BYTES = 16 << 20
+#: Bytes of query vectors in a block, and of blocks whose lists a task holds at once.
+BLOCK_BYTES, HELD_BYTES = 1 << 20, 32 << 20
 
 
 def clean(table: DataFrame) -> DataFrame:
@@ -39,32 +45,36 @@ def by_dim(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, np.ndarray,
         yield int(dim), ids[at], matrix(column.take(pa.array(at)), int(dim))
 
 
-def query_groups(rows: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """The rows in groups of at most ``GROUP_BYTES`` or so: vector length -> (ids, vectors).
+def query_blocks(rows: DataFrame, block_bytes: int | None = None) -> DataFrame:
+    """q_dim, q_ids, q_data of blocks of the rows (vec_id, v), a vector length to a block."""
+    size = block_bytes or BLOCK_BYTES
 
-    The groups are streamed to the driver one after another; each is broadcast, used and dropped.
-    """
-    held: dict[int, list] = {}
-    size = 0
-    for r in rows.toLocalIterator():
-        held.setdefault(len(r.v), []).append((r.vec_id, r.v))
-        size += 8 * len(r.v) + 16
-        if size >= GROUP_BYTES:
-            yield _packed(held)
-            held, size = {}, 0
-    if held:
-        yield _packed(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list, int]] = {}
 
+        def row(dim: int) -> pa.RecordBatch:
+            ids, data, _ = held.pop(dim)
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(data).tobytes()], pa.binary())], names=["q_dim", "q_ids", "q_data"])
 
-def _packed(held: dict[int, list]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    return {d: (np.array([i for i, _ in x], np.int64), np.array([v for _, v in x], np.float64)) for d, x in held.items()}
+        for batch in batches:
+            for dim, ids, data in by_dim(batch):
+                step = max(1, size // (8 * dim))
+                for i in range(0, len(ids), step):
+                    a, b, n = held.get(dim, ([], [], 0))
+                    held[dim] = (a + [ids[i : i + step]], b + [data[i : i + step]], n + len(ids[i : i + step]))
+                    if held[dim][2] >= step:
+                        yield row(dim)
+        for dim in list(held):
+            yield row(dim)
+
+    return rows.select("vec_id", "v").mapInArrow(run, "q_dim int, q_ids binary, q_data binary")
 
 
 class TopK:
     """The k best (score, then smaller id) of each of n queries."""
 
     def __init__(self, n: int, k: int, kind: type = np.float64) -> None:
-        self.n, self.k = n, k
+        self.n, self.k, self.begun = n, k, False
         self.row, self.score, self.id = np.zeros(0, np.int64), np.zeros(0, kind), np.zeros(0, np.int64)
         #: The k-th best score of a query; where it has fewer, the least value.
         self.floor = np.full(n, np.iinfo(np.int64).min + 1 if kind is np.int64 else -np.inf, kind)
@@ -80,19 +90,39 @@ class TopK:
         self.floor[row[last]] = score[last]
 
 
-def search(index: DataFrame, queries: DataFrame, work: Callable[[object, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], score_type: str, k: int, label: str) -> DataFrame:
-    """query_id, rank, vec_id, score: one pass over ``index`` for each group of queries, whose partial lists meet in a last top-k.
+def search(index: DataFrame, queries: DataFrame, meet: Callable[[dict, np.ndarray, np.ndarray, TopK], None], kind: type, k: int, label: str) -> DataFrame:
+    """query_id, rank, vec_id, score: every block of queries meets every row of ``index``, which has dim among its columns.
 
-    ``work(group, batches)`` yields (query_id, vec_id, score), at most k a query and task.
+    ``meet(row, ids, vectors, best)`` offers what a row of the index has to the block's lists. A task's partial lists, at
+    most k a query, meet in a last top-k.
     """
-    spark = index.sparkSession
+    score_type, names = ("long" if kind is np.int64 else "double"), index.columns
+    blocks = scratch.materialize(query_blocks(queries).withColumn("block", F.monotonically_increasing_id()), f"{label}-queries")
+
+    def lists(held: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+        for ids, _, best in held.values():
+            if len(best.row):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best.row]), pa.array(best.id), pa.array(best.score)], names=["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                value = lambda c: batch.column(c)[i].as_py()  # noqa: B023, E731
+                if value("dim") != value("q_dim"):
+                    continue
+                block = value("block")
+                if block not in held:
+                    if size >= HELD_BYTES:
+                        yield from lists(held)
+                        held, size = {}, 0
+                    ids, q = np.frombuffer(value("q_ids"), np.int64), np.frombuffer(value("q_data"), np.float64).reshape(-1, value("q_dim"))
+                    held[block] = ids, q, TopK(len(ids), k, kind)
+                    size += q.nbytes
+                meet({c: value(c) for c in names}, *held[block])
+        yield from lists(held)
+
     schema = f"query_id long, vec_id long, score {score_type}"
-    path, passes = scratch.new_path(spark, label), 0
-    for group in query_groups(queries):
-        shared = spark.sparkContext.broadcast(group)
-        index.mapInArrow(lambda batches, shared=shared: work(shared.value, batches), schema).write.mode("append").parquet(path)
-        shared.unpersist()
-        passes += 1
-    found = spark.read.schema(schema).parquet(path) if passes else spark.createDataFrame([], schema)
+    found = scratch.materialize(index.crossJoin(blocks).mapInArrow(run, schema), label)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

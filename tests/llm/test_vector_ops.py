@@ -36,7 +36,7 @@ def lists(rows):
 
 def test_products_on_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(mips, "BUCKET", 128)
-    monkeypatch.setattr(vectors, "GROUP_BYTES", 500)  # several passes
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 500)  # many blocks
     ints = mips.quantize(odd(spark))
     rows = sorted({(r.vec_id, tuple(int(x) for x in r.v)) for r in ints.collect()})
     found = lists(mips.top_products(ints, ints.where("vec_id % 50 = 0")).collect())
@@ -110,3 +110,36 @@ def test_neighbours_on_odd_rows(spark):
     assert [i for _, i in found[7000]] == [7001, 7002, 7003, 7004, 7005]  # copies: the smallest ids
     assert found[6050] == [(pytest.approx(0.8), 6000)]
     assert vamana.search(vamana.build_index(rows.where("false")), rows.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_blocks_with_and_without_a_broadcast(spark, monkeypatch, threshold):
+    monkeypatch.setattr(mips, "BUCKET", 128)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 300)
+    ints = mips.quantize(odd(spark))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        rows = sorted({(r.vec_id, tuple(int(x) for x in r.v)) for r in ints.collect()})
+        found = lists(mips.top_products(ints, ints.where("vec_id % 50 = 0")).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == {q: x for q, x in brute(rows, lambda a, b: sum(i * j for i, j in zip(a, b, strict=True))).items() if x}
+
+
+def test_recall_over_several_shards(spark):
+    """All of the larger table, in many shards, against brute force."""
+    path = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{path}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    table = vectors.clean(spark.read.parquet(f"{path}/embeddings.parquet")).where(F.exists("v", lambda c: c != 0))
+    index = vamana.build_index(table, 200)
+    assert index.count() >= 8
+    found = lists(vamana.search(index, table.where("vec_id % 50 = 0")).collect())
+    hits = []
+    for q, near in found.items():
+        sims = unit @ unit[ids == q][0]
+        sims[ids == q] = -9
+        hits.append(len({i for _, i in near} & set(ids[np.argsort(-sims)[:5]].tolist())) / 5)
+    assert len(hits) == (ids % 50 == 0).sum() and np.mean(hits) >= 0.9
