@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import scratch
+from quire.llm.rows import steady
 
 MIN_CHARS = 16
 #: Most candidate texts whose places are broadcast, after they have been counted; beyond it they are joined by shuffle.
@@ -132,8 +133,9 @@ def near_lines(rows: DataFrame, texts: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """A struct column ``row`` of all columns of ``docs``, and text, n_lines, dropped (places of the dropped lines).
 
-    ``docs`` is read more than once and must give its rows in the same partitions each time, as a table does.
+    ``docs`` is read more than once; what is no plain scan of files is written first, so that row numbers stay.
     """
+    docs = steady(docs)
     held = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row"))
     text = F.col("row.text").cast("string")
     rows = held.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), text.alias("text"))

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from quire import scratch
 from quire.llm import nearcopies
 from quire.llm.components import connected_components
+from quire.llm.rows import steady
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 #: Nodes that a shard holds about (one of over four times as many is cut again), sampled nodes for each shard, and most shards of one tree.
@@ -295,8 +296,9 @@ def op5_simhash(spark, sf_dir: str) -> DataFrame:
 def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies (``nearcopies``: shingles of five words, similarity 0.8 or more): the smallest doc_id, or the first of its rows where doc_ids repeat or are null.
 
-    ``docs`` is read more than once and must give its rows in the same partitions each time, as a table does.
+    ``docs`` is read more than once; what is no plain scan of files is written first, so that row numbers stay.
     """
+    docs = steady(docs)
     rid = F.monotonically_increasing_id()
     own = docs.select(rid.alias("rid"), "doc_id", "text")
     # rows in order of doc_id, those without one last; rid tells repeated rows apart

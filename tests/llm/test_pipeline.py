@@ -72,3 +72,49 @@ def test_near_copies_of_many_bits_leave_one(spark):
     near = len(shingles(edited(5)) & shingles(edited(10))) / len(shingles(edited(5)) | shingles(edited(10)))
     assert near < 0.8
     assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == [1, 3]
+
+
+def test_near_copies_against_all_pairs(spark):
+    """Texts that share a long passage but are unlike, beside chains of near copies."""
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 20_000, n)]
+    common, texts = word(120), []
+    for share in (60, 120, 120, 120):
+        for _ in range(25):
+            texts.append(common[:share] + word(int(rng.integers(25, 60))))
+    for base in [list(t) for t in texts[::9]]:
+        for _ in range(3):
+            at = int(rng.integers(0, len(base)))
+            base = [*base[:at], *word(int(rng.integers(0, 4))), *base[at + int(rng.integers(0, 4)) :]]
+            texts.append(base)
+    texts += [["a"], ["a"], ["b"], [], ["A"]]
+    sets = []
+    for t in texts:
+        t = [w.lower() for w in t]
+        sets.append({tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set())
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    like = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if (not a and not sets[j]) or 10 * len(a & sets[j]) >= 8 * len(a | sets[j]) > 0:
+                like += 1
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    assert like > 60
+    docs = spark.createDataFrame([(i, " ".join(t), "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, key string, node string")
+    kept = simhash.stage_simhash(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({root(i) for i in range(len(texts))})
+
+
+def test_stages_number_rows_of_a_shuffle(spark):
+    texts = [f"one line of document {k // 2} and then some more words for it\nshared line of all the documents" for k in range(40)]
+    docs = spark.createDataFrame([(None if k % 5 == 0 else k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(7, "text")
+    assert simhash.stage_simhash(spark, docs, "").count() == 20
+    found = linededup.stage_line_dedup(spark, docs, "").collect()
+    assert len(found) == 40 and sum("shared" in r.text for r in found) == 1
