@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where the setting is missing."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where the setting is missing and all executors are in this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quire-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
@@ -49,7 +51,15 @@ def materialize(df: DataFrame, label: str, rows: int | None = None, rows_per_fil
     spark = df.sparkSession
     path = new_path(spark, label)
     fewer(df, rows, rows_per_file).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch_path = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more: neither a pending query nor one that a lost executor may set back."""
+    for table in tables:
+        _delete(table.sparkSession, table.scratch_path)
 
 
 def fewer(df: DataFrame, rows: int | None, rows_per_file: int = 500_000) -> DataFrame:
