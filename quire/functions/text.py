@@ -49,10 +49,10 @@ def safe_name(d: Spark, x: str) -> str:
     return f"substring({d.replace(x, '[^A-Za-z0-9._-]+', '_')}, 1, 80)"
 
 
-def email_mask(x: str) -> str:
-    """First two characters, or one of a short name, stars, and the domain."""
-    at = f"(length({x}) - length(substring_index({x}, '@', -1)))"
-    return f"concat(substring({x}, 1, CASE WHEN {at} - 1 > 2 THEN 2 ELSE 1 END), '***', '@', substring_index({x}, '@', -1))"
+def email_mask(d: Spark, x: str) -> str:
+    """First two characters, or one of a name of at most two, stars, and the domain behind the last @."""
+    name = d.extract(x, "^(.*)@", 1)
+    return f"concat(substring({name}, 1, CASE WHEN length({name}) > 2 THEN 2 ELSE 1 END), '***', '@', {d.extract(x, '@([^@]*)$', 1)})"
 
 
 def can_follow(d: Spark, before: str, line: str) -> str:

@@ -1,129 +1,145 @@
-"""Sequential operators: greedy batches, rate limits, circuit breakers, last-kept dedupe.
+"""Sequential operators: greedy batches, rate limits, circuit breakers, last-kept dedupe, units of lines.
 
-Each is a fold over the ordered rows of one key, with Spark's ``aggregate`` over a
-sorted array; the fold's state carries its outputs. A key's rows must fit one row,
-so keys are documents, users or channels, never the whole table.
+Each is a walk over the ordered rows of one key. Rows are partitioned by key and sorted within
+partitions, so a task sees a key's rows one after another and keeps the walk's state alone: its
+time grows with the rows, and a key may have more rows than fit in memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+ROWS = 8192
 
-def fold(rows: DataFrame, key: str, order: list[str], values: list[str], start: dict[str, Column], step: Callable[[dict[str, Column], Column], tuple[dict[str, Column], dict[str, Column]]], outputs: str, decide: Callable[[dict[str, Column], Column], Column] | None = None) -> DataFrame:
-    """``key``, the order columns and the outputs of ``step`` for each row, in order.
 
-    ``step(state, row)`` gives the next state and the row's outputs; ``outputs`` is their DDL. What ``decide`` says
-    is evaluated once a row, and is the state's entry "decided".
-    """
-    items = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *values))).alias("items"))
-    kinds = ", ".join(f"{o}: {dict(rows.dtypes)[o]}" for o in order)
-    none = F.expr(f"cast(array() as array<struct<{kinds}, {outputs}>>)")
-    begin = F.struct(*[v.alias(k) for k, v in start.items()], none.alias("out"))
-
-    def merge(acc: Column, row: Column) -> Column:
-        state = {k: acc[k] for k in start}
-        if decide is None:
-            return moved(acc, state, row)
-        return F.get(F.transform(F.array(decide(state, row)), lambda d: moved(acc, state | {"decided": d}, row)), F.lit(0))
-
-    def moved(acc: Column, state: dict[str, Column], row: Column) -> Column:
-        state, out = step(state, row)
-        done = F.struct(*[row[o].alias(o) for o in order], *[v.alias(k) for k, v in out.items()])
-        return F.struct(*[state[k].alias(k) for k in start], F.array_append(acc.out, done).alias("out"))
-
-    return items.select(key, F.inline(F.aggregate("items", begin, merge, lambda a: a.out)))
+def fold(rows: DataFrame, key: str, order: list[str], values: list[str], start: Callable[[], tuple], step: Callable[..., tuple], outputs: str) -> DataFrame:
+    """``key``, the order columns and one output of ``step`` for each row.
 
-
-def _long(x: int) -> Column:
-    return F.lit(x).cast("long")
+    ``step(state, *row)`` gives the next state and the output for a row of the order columns and ``values``;
+    ``start()`` is the state before a key's first row. ``outputs`` is the output's DDL.
+    """
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [key, *order]) + f", {outputs}"
+    name, kind = outputs.split()
+    arrow = {"boolean": pa.bool_(), "long": pa.int64()}[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = object(), None  # no key is equal to this one
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part, out = batch.slice(i, ROWS), []
+                keys, *columns = (c.to_pylist() for c in part.columns)
+                for k, *row in zip(keys, *columns, strict=True):
+                    if k != at:
+                        at, state = k, start()
+                    state, result = step(state, *row)
+                    out.append(result)
+                yield pa.RecordBatch.from_arrays([*part.columns[: 1 + len(order)], pa.array(out, arrow)], names=[key, *order, name])
+
+    ordered = rows.select(key, *order, *values).repartition(key).sortWithinPartitions(key, *order)
+    return ordered.mapInArrow(run, schema)
 
 
 def greedy_batches(units: DataFrame, max_units: int, max_chars: int, after: bool = False) -> DataFrame:
     """doc_id, k, batch for units (doc_id, k, n): a batch closes before it would go beyond a limit, or ``after`` it has reached one."""
 
-    def step(s: dict, r: Column) -> tuple[dict, dict]:
-        full = (s["count"] >= max_units) | (s["chars"] >= max_chars) if after else (s["count"] > 0) & ((s["count"] + 1 > max_units) | (s["chars"] + r.n > max_chars))
-        batch = s["batch"] + F.when(full, 1).otherwise(0).cast("long")
-        return {"batch": batch, "count": F.when(full, _long(1)).otherwise(s["count"] + 1), "chars": F.when(full, r.n).otherwise(s["chars"] + r.n)}, {"batch": batch}
+    def step(state: tuple, _: int, n: int) -> tuple:
+        batch, count, chars = state
+        full = count >= max_units or chars >= max_chars if after else count > 0 and (count + 1 > max_units or chars + n > max_chars)
+        return ((batch + 1, 1, n) if full else (batch, count + 1, chars + n)), batch + full
 
-    return fold(units, "doc_id", ["k"], ["n"], {"batch": _long(0), "count": _long(0), "chars": _long(0)}, step, "batch: bigint")
+    return fold(units, "doc_id", ["k"], ["n"], lambda: (0, 0, 0), step, "batch long")
 
 
 def balanced_batches(units: DataFrame, max_units: int, max_chars: int) -> DataFrame:
     """doc_id, k, batch for units (doc_id, k, n): what remains at each batch's start is dealt evenly; a batch closes early before it would go beyond ``max_chars``."""
 
-    def step(s: dict, r: Column) -> tuple[dict, dict]:
-        full = (s["count"] >= s["take"]) | ((s["count"] > 0) & (s["chars"] + r.n > max_chars))
-        parts = F.ceil(r.remain / max_units)
-        batch = s["batch"] + F.when(full, 1).otherwise(0).cast("long")
-        return {"batch": batch, "count": F.when(full, _long(1)).otherwise(s["count"] + 1), "chars": F.when(full, r.n).otherwise(s["chars"] + r.n), "take": F.when(full, F.ceil(r.remain / parts)).otherwise(s["take"])}, {"batch": batch}
+    def step(state: tuple, _: int, n: int, remain: int) -> tuple:
+        batch, count, chars, take = state
+        if count >= take or (count > 0 and chars + n > max_chars):
+            return (batch + 1, 1, n, -(-remain // -(-remain // max_units))), batch + 1
+        return (batch, count + 1, chars + n, take), batch
 
     rows = units.select("doc_id", "k", F.col("n").cast("long").alias("n"), (F.count("*").over(Window.partitionBy("doc_id")) - F.row_number().over(Window.partitionBy("doc_id").orderBy("k")) + 1).alias("remain"))
-    return fold(rows, "doc_id", ["k"], ["n", "remain"], {"batch": _long(-1), "count": _long(0), "chars": _long(0), "take": _long(0)}, step, "batch: bigint")
+    return fold(rows, "doc_id", ["k"], ["n", "remain"], lambda: (-1, 0, 0, 0), step, "batch long")
 
 
 def accumulate_pages(pages: DataFrame, at_least: int = 30) -> DataFrame:
     """doc_id, k, batch for pages (doc_id, k, n units): pages gather until they have ``at_least`` units."""
 
-    def step(s: dict, r: Column) -> tuple[dict, dict]:
-        full = s["units"] >= at_least
-        batch = s["batch"] + F.when(full, 1).otherwise(0).cast("long")
-        return {"batch": batch, "units": F.when(full, r.n).otherwise(s["units"] + r.n)}, {"batch": batch}
+    def step(state: tuple, _: int, n: int) -> tuple:
+        batch, units = state
+        return ((batch + 1, n), batch + 1) if units >= at_least else ((batch, units + n), batch)
+
+    return fold(pages, "doc_id", ["k"], ["n"], lambda: (0, 0), step, "batch long")
 
-    return fold(pages, "doc_id", ["k"], ["n"], {"batch": _long(0), "units": _long(0)}, step, "batch: bigint")
+
+def merge_units(lines: DataFrame, max_lines: int = 12, max_chars: int = 1500) -> DataFrame:
+    """doc_id, k, unit for lines (doc_id, k, n characters, follows, glue): a line that follows joins its unit until a cap is reached.
+
+    ``glue`` is what joining adds: one character for a blank, or less one for a hyphen that goes.
+    """
+
+    def step(state: tuple, _: int, n: int, follows: bool, glue: int) -> tuple:
+        unit, count, chars = state
+        if follows and 0 < count < max_lines and chars + glue + n <= max_chars:
+            return (unit, count + 1, chars + glue + n), unit
+        return (unit + 1, 1, n), unit + 1
+
+    return fold(lines, "doc_id", ["k"], ["n", "follows", "glue"], lambda: (-1, 0, 0), step, "unit long")
 
 
 def rate_limit(hits: DataFrame, most: int, seconds: int) -> DataFrame:
     """user_id, t, id, over for hits (user_id, t seconds, id): a window opens at the first hit after the last has run out."""
 
-    def step(s: dict, r: Column) -> tuple[dict, dict]:
-        fresh = s["since"].isNull() | (r.t - s["since"] > seconds)
-        n = F.when(fresh, _long(1)).otherwise(s["n"] + 1)
-        return {"since": F.when(fresh, r.t).otherwise(s["since"]), "n": n}, {"over": n > most}
+    def step(state: tuple, t: int, _: int) -> tuple:
+        since, n = state
+        if since is None or t - since > seconds:
+            since, n = t, 0
+        return (since, n + 1), n + 1 > most
 
-    return fold(hits, "user_id", ["t", "id"], [], {"since": F.lit(None).cast("long"), "n": _long(0)}, step, "over: boolean")
+    return fold(hits, "user_id", ["t", "id"], [], lambda: (None, 0), step, "over boolean")
 
 
 def circuit_breaker(calls: DataFrame, strikes: int = 2, cooldown: int = 120) -> DataFrame:
     """user_id, t, id, cooling for calls (user_id, t, id, failed): ``strikes`` failures in a row cool a channel; a success clears them."""
 
-    def step(s: dict, r: Column) -> tuple[dict, dict]:
-        cooling = r.t < s["until"]
-        n = F.when(cooling, s["n"]).when(r.failed, s["n"] + 1).otherwise(_long(0))
-        trips = ~cooling & (n >= strikes)
-        return {"n": F.when(trips, _long(0)).otherwise(n), "until": F.when(trips, r.t + cooldown).otherwise(s["until"])}, {"cooling": cooling}
+    def step(state: tuple, t: int, _: int, failed: bool) -> tuple:
+        n, until = state
+        if t < until:
+            return state, True
+        n = n + 1 if failed else 0
+        return ((0, t + cooldown) if n >= strikes else (n, until)), False
 
-    return fold(calls, "user_id", ["t", "id"], ["failed"], {"n": _long(0), "until": _long(0)}, step, "cooling: boolean")
+    return fold(calls, "user_id", ["t", "id"], ["failed"], lambda: (0, 0), step, "cooling boolean")
 
 
 def quota_reset(reads: DataFrame, days: int = 30) -> DataFrame:
     """user_id, t, id, used for reads (user_id, t, id, pages): the count starts again where ``days`` have passed since it last did."""
 
-    def step(s: dict, r: Column) -> tuple[dict, dict]:
-        fresh = s["since"].isNull() | (r.t - s["since"] > days * 86400)
-        used = F.when(fresh, r.pages).otherwise(s["used"] + r.pages)
-        return {"since": F.when(fresh, r.t).otherwise(s["since"]), "used": used}, {"used": used}
+    def step(state: tuple, t: int, _: int, pages: int) -> tuple:
+        since, used = state
+        if since is None or t - since > days * 86400:
+            since, used = t, 0
+        return (since, used + pages), used + pages
 
-    return fold(reads, "user_id", ["t", "id"], ["pages"], {"since": F.lit(None).cast("long"), "used": _long(0)}, step, "used: bigint")
+    return fold(reads, "user_id", ["t", "id"], ["pages"], lambda: (None, 0), step, "used long")
 
 
 def keep_last_different(lines: DataFrame, percent: int = 45, min_chars: int = 6) -> DataFrame:
     """doc_id, k, dropped for lines (doc_id, k, c stripped text): a line goes where its bigrams are like those of the last one kept."""
-    c = F.col("c")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-    rows = lines.select("doc_id", "k", F.length(c).alias("n"), grams.alias("g"))
-
-    def alike(s: dict, r: Column) -> Column:
-        # 100 x shared >= percent x (all - shared); short lines are like nothing
-        counts = F.size(F.array_intersect(s["g"], r.g)) * (100 + percent) >= percent * (F.size(s["g"]) + F.size(r.g))
-        return F.when((s["n"] >= min_chars) & (r.n >= min_chars), counts).otherwise(F.lit(False))
 
-    def step(s: dict, r: Column) -> tuple[dict, dict]:
-        like = s["decided"]
-        return {"n": F.when(like, s["n"]).otherwise(r.n), "g": F.when(like, s["g"]).otherwise(r.g)}, {"dropped": like}
+    def step(state: tuple, _: int, c: str) -> tuple:
+        own = frozenset(c[i : i + 2] for i in range(len(c) - 1)) if len(c) >= min_chars else None
+        if own and state[0]:
+            shared = len(own & state[0])
+            # 100 x shared >= percent x all; short lines are like nothing
+            if 100 * shared >= percent * (len(own) + len(state[0]) - shared):
+                return state, True
+        return (own,), False
 
-    return fold(rows, "doc_id", ["k"], ["n", "g"], {"n": F.lit(0), "g": F.expr("cast(array() as array<string>)")}, step, "dropped: boolean", alike)
+    return fold(lines, "doc_id", ["k"], ["c"], lambda: (None,), step, "dropped boolean")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quire.functions import text as T
 from quire.plans.dialect import Catalog, Spark
 
 catalog = Catalog()
@@ -22,13 +23,12 @@ both(
     lambda d: f"SELECT {d.day('c.d')} AS usage_day, coalesce(u.n, 0) AS n, coalesce(u.total, 0) AS total FROM {d.days('2023-12-28', '2024-02-02')} c LEFT JOIN (SELECT CAST({d.plus('ts', 8, 'HOURS')} AS DATE) AS k, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY CAST({d.plus('ts', 8, 'HOURS')} AS DATE)) u ON u.k = c.d",
 )
 both("user_usage_total", lambda d: f"SELECT user_id, CAST(sum(pages) AS BIGINT) AS pages, count(*) AS n FROM {JOBS} j GROUP BY user_id")
-#: Of each user; the given SQL takes fifty rows of all users.
-both("user_usage_recent", lambda d: f"SELECT id, user_id, pages FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created DESC, id DESC) AS k FROM {JOBS} j) h WHERE k <= 50", lambda d: f"SELECT id, user_id, pages FROM {JOBS} j ORDER BY created DESC, id DESC LIMIT 50")
+both("user_usage_recent", lambda d: f"SELECT id, user_id, pages FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created DESC, id DESC) AS k FROM {JOBS} j) h WHERE k <= 50")
 both("top_users_percent", lambda d: f"SELECT id, used_pages, CASE WHEN quota_pages > 0 THEN least(100.0, floor(used_pages * 1000.0 / quota_pages + 0.5) / 10.0) END AS percent_used FROM {USERS} u ORDER BY used_pages DESC, id LIMIT 5")
 both("quota_state", lambda d: f"SELECT id, quota_pages = 0 AS unlimited, CASE WHEN quota_pages > 0 THEN greatest(0, quota_pages - used_pages) END AS remaining FROM {USERS} u")
 both("user_search_page", lambda d: f"SELECT id, email FROM {USERS} u WHERE email LIKE '%1@%' ESCAPE '/' ORDER BY used_pages DESC, id DESC LIMIT 20 OFFSET 20")
 both("user_search_count", lambda d: f"SELECT count(*) AS n, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages FROM {USERS} u WHERE email LIKE '%1@%'")
-both("email_mask", lambda d: f"SELECT id, substring(email, 1, 2) || '***' || substring(email, length(email) - 11) AS masked FROM {USERS} u")
+both("email_mask", lambda d: f"SELECT id, {T.email_mask(d, 'email')} AS masked FROM {USERS} u")
 both("latest_code_per_user", lambda d: "SELECT user_id, max(event_id) AS code_id FROM events WHERE event_type = 'signup' GROUP BY user_id")
 both("code_check", lambda d: "SELECT event_id, CASE WHEN event_type <> 'signup' THEN 'missing' WHEN ts < TIMESTAMP'2024-01-20 00:00:00' THEN 'expired' WHEN value < 10 THEN 'mismatch' ELSE 'ok' END AS verdict FROM events")
 both("invites_recent", lambda d: f"SELECT id, code FROM {INVITES} i ORDER BY id DESC, code DESC LIMIT 100")

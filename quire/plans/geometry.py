@@ -22,17 +22,15 @@ both("bilingual_style_bucket", lambda d: f"SELECT page, CASE WHEN avg(size) >= 1
 both("overlap_pairs", lambda d: f"SELECT a.page, a.i AS i, b.i AS j FROM {PAIR} AND a.i < b.i AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
 both("nearest_line", lambda d: f"SELECT page, i, j FROM (SELECT a.page, a.i AS i, b.i AS j, row_number() OVER (PARTITION BY a.page, a.i ORDER BY abs(a.y1 - b.y1), b.x0 - b.x1, b.i) AS k FROM {PAIR} AND a.i <> b.i AND abs(a.y1 - b.y1) <= 1.6 * a.size AND abs(a.x0 - b.x0) <= 40) n WHERE k = 1")
 both("free_band", lambda d: f"SELECT a.page, a.i AS i, max(CASE WHEN b.y1 <= a.y0 THEN b.y1 END) AS top, min(CASE WHEN b.y0 >= a.y1 THEN b.y0 END) AS bottom FROM {BOXES} a LEFT JOIN {BOXES} b ON a.page = b.page AND a.i <> b.i AND a.x0 < b.x1 AND b.x0 < a.x1 GROUP BY a.page, a.i")
-#: Boxes that no drawn one is close to on all four sides; drawn are those of a legible size. The given SQL meets the next box alone.
+#: Boxes that no drawn one is close to on all four sides; drawn are those of a legible size.
 both(
     "tolerant_anti_join",
     lambda d: f"SELECT a.page, a.i AS i FROM {BOXES} a WHERE NOT EXISTS (SELECT 1 FROM {BOXES} b WHERE b.page = a.page AND b.size >= 10 AND abs(a.x0 - b.x0) <= 0.6 AND abs(a.y0 - b.y0) <= 0.6 AND abs(a.x1 - b.x1) <= 0.6 AND abs(a.y1 - b.y1) <= 0.6)",
-    lambda d: f"SELECT a.page, a.i AS i FROM {BOXES} a WHERE NOT EXISTS (SELECT 1 FROM {BOXES} b WHERE b.page = a.page AND b.i = a.i + 1 AND abs(a.x0 - b.x0) <= 0.6 AND abs(a.size - b.size) <= 0.6)",
 )
-#: Lines of a legible size, one below the other, with a smaller one between them. The given SQL meets pairs of index distance 2 alone.
+#: Lines of a legible size, one below the other, with a smaller one between them.
 both(
     "blocked_pairs",
     lambda d: f"SELECT p.page, p.i AS i, p.j AS j FROM (SELECT a.page, a.i AS i, b.i AS j, a.y1 AS lo, b.y0 AS hi, least(a.x0, b.x0) AS x0, greatest(a.x1, b.x1) AS x1 FROM {PAIR} AND a.size >= 10 AND b.size >= 10 AND a.y1 <= b.y0) p WHERE EXISTS (SELECT 1 FROM {BOXES} c WHERE c.page = p.page AND c.size < 10 AND c.y0 >= p.lo - 1 AND c.y1 <= p.hi + 1 AND c.x1 > p.x0 AND c.x0 < p.x1)",
-    lambda d: f"SELECT p.page, p.i AS i, p.j AS j FROM (SELECT a.page, a.i AS i, b.i AS j, a.y1 AS lo, b.y0 AS hi, greatest(a.x0, b.x0) AS x0, least(a.x1, b.x1) AS x1 FROM {PAIR} AND b.i = a.i + 2) p WHERE EXISTS (SELECT 1 FROM {BOXES} c WHERE c.page = p.page AND c.i <> p.i AND c.i <> p.j AND c.y0 < p.hi AND c.y1 > p.lo AND c.x0 < p.x1 AND c.x1 > p.x0)",
 )
 both("geometry_audit", lambda d: f"SELECT page, sum(CASE WHEN x1 > 260 THEN 1 ELSE 0 END) AS past_right, sum(CASE WHEN x0 < 0 THEN 1 ELSE 0 END) AS past_left, sum(CASE WHEN size < 10 THEN 1 ELSE 0 END) AS too_small, sum(CASE WHEN y1 > 110 THEN 1 ELSE 0 END) AS past_bottom FROM {BOXES} b GROUP BY page")
 both("rect_fit", lambda d: f"SELECT page, i, least(200.0 / (x1 - x0), 10.0 / (y1 - y0), 1.0) AS scale, greatest(0, least(x0, 260 - (x1 - x0))) AS left FROM {BOXES} b")
@@ -42,11 +40,11 @@ both("obstacle_rects", lambda d: f"SELECT page, i FROM {BOXES} b WHERE x1 - x0 >
 both("word_cleanup", lambda d: f"SELECT page, i, row_number() OVER (PARTITION BY page ORDER BY y0, x0, i) AS n FROM {BOXES} b WHERE x1 > x0 AND y1 > y0")
 
 
-def _shares(d: Spark, bound: str = "") -> str:
+def _shares(d: Spark) -> str:
     return f"""SELECT doc_id, i, 1 + share + CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY frac DESC, w DESC, i) <= extra - sum(share) OVER (PARTITION BY doc_id) THEN 1 ELSE 0 END AS n FROM (
       SELECT doc_id, i, w, extra, extra * w {d.div} total AS share, extra * w % total AS frac FROM (
-        SELECT l.doc_id, l.i, length(l.line) + 1 AS w, CAST(sum(length(l.line) + 1) OVER (PARTITION BY l.doc_id) AS BIGINT) AS total, t.n_chars % 500 AS extra FROM {d.lines()} l JOIN documents t ON t.doc_id = l.doc_id{bound}) a) b"""
+        SELECT l.doc_id, l.i, length(l.line) + 1 AS w, CAST(sum(length(l.line) + 1) OVER (PARTITION BY l.doc_id) AS BIGINT) AS total, t.n_chars % 500 AS extra FROM {d.lines()} l JOIN documents t ON t.doc_id = l.doc_id) a) b"""
 
 
-#: A reply of as many characters as n_chars % 500 and the lines, over the widths of a document's lines; the given SQL stops at the twelfth.
-both("allocate_shares", _shares, lambda d: _shares(d, " WHERE l.i < 12"))
+#: A reply of as many characters as n_chars % 500 and the lines, over the widths of a document's lines.
+both("allocate_shares", _shares)

@@ -56,11 +56,13 @@ catalog.add(
     lambda spark, sf: folds.accumulate_pages(_frame(lambda d: f"SELECT * FROM {pages(d)} u")(spark, sf)),
     lambda d: walk(d, pages(d), "doc_id", "k", {"batch": "0", "units": "x.n"}, {"batch": "s.batch + CASE WHEN s.units >= 30 THEN 1 ELSE 0 END", "units": "CASE WHEN s.units >= 30 THEN x.n ELSE s.units + x.n END"}, "doc_id, k, =batch"),
 )
-#: The given SQL is a closed form without the limit on characters.
+_NEXT = "(s.c >= s.take OR s.chars + x.n > 3500)"
+_TAKE = "CAST(ceil(x.remain / ceil(x.remain / 100.0)) AS BIGINT)"
+_LEFT = lambda d: f"(SELECT *, count(*) OVER (PARTITION BY doc_id) - k AS remain FROM {units(d)} u)"
 catalog.add(
     "batch_balanced",
     lambda spark, sf: folds.balanced_batches(_frame(lambda d: f"SELECT * FROM {units(d)} u")(spark, sf), 100, 3500).groupBy("doc_id", "batch").agg(F.count("*").alias("n")),
-    lambda d: f"SELECT doc_id, batch, count(*) AS n FROM (SELECT doc_id, CASE WHEN k < big * (per + 1) THEN k {d.div} (per + 1) ELSE big + (k - big * (per + 1)) {d.div} greatest(per, 1) END AS batch FROM (SELECT doc_id, k, total {d.div} parts AS per, total % parts AS big FROM (SELECT doc_id, k, total, (total + 99) {d.div} 100 AS parts FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id) AS total FROM {units(d)} u) a) b) c) e GROUP BY doc_id, batch",
+    lambda d: f"SELECT doc_id, batch, count(*) AS n FROM ({walk(d, _LEFT(d), 'doc_id', 'k', {'batch': '0', 'c': '1', 'chars': 'x.n', 'take': _TAKE}, {'batch': f's.batch + CASE WHEN {_NEXT} THEN 1 ELSE 0 END', 'c': f'CASE WHEN {_NEXT} THEN 1 ELSE s.c + 1 END', 'chars': f'CASE WHEN {_NEXT} THEN x.n ELSE s.chars + x.n END', 'take': f'CASE WHEN {_NEXT} THEN {_TAKE} ELSE s.take END'}, 'doc_id, k, =batch')}) z GROUP BY doc_id, batch",
 )
 catalog.add(
     "rate_limit_fixed_window",
@@ -74,10 +76,11 @@ catalog.add(
     lambda d: f"SELECT user_id, t, id, cooling FROM ({walk(d, hits(d, FAILED), 'user_id', 't, id', {'cooling': 'false', 'n': 'CASE WHEN x.failed THEN 1 ELSE 0 END', 'until': 'CAST(0 AS BIGINT)'}, {'cooling': 'x.t < s.until', 'n': 'CASE WHEN x.t < s.until THEN s.n WHEN NOT x.failed THEN 0 WHEN s.n + 1 >= 2 THEN 0 ELSE s.n + 1 END', 'until': 'CASE WHEN x.t >= s.until AND x.failed AND s.n + 1 >= 2 THEN x.t + 43200 ELSE s.until END'}, 'user_id, t, id, =cooling')}) z",
 )
 
+QUOTA_DAYS = 30
 catalog.add(
     "quota_reset_30d",
-    lambda spark, sf: folds.quota_reset(_frame(lambda d: f"SELECT * FROM {hits(d, ', CAST(floor(value) AS BIGINT) AS pages')} h")(spark, sf), 7),
-    lambda d: walk(d, hits(d, ", CAST(floor(value) AS BIGINT) AS pages"), "user_id", "t, id", {"since": "x.t", "used": "x.pages"}, {"since": "CASE WHEN x.t - s.since > 604800 THEN x.t ELSE s.since END", "used": "CASE WHEN x.t - s.since > 604800 THEN x.pages ELSE s.used + x.pages END"}, "user_id, t, id, =used"),
+    lambda spark, sf: folds.quota_reset(_frame(lambda d: f"SELECT * FROM {hits(d, ', CAST(floor(value) AS BIGINT) AS pages')} h")(spark, sf), QUOTA_DAYS),
+    lambda d: walk(d, hits(d, ", CAST(floor(value) AS BIGINT) AS pages"), "user_id", "t, id", {"since": "x.t", "used": "x.pages"}, {"since": "CASE WHEN x.t - s.since > 2592000 THEN x.t ELSE s.since END", "used": "CASE WHEN x.t - s.since > 2592000 THEN x.pages ELSE s.used + x.pages END"}, "user_id, t, id, =used"),
 )
 
 

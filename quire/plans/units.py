@@ -47,13 +47,14 @@ both("safe_name", lambda d: f"SELECT page_id, {T.safe_name(d, 'url')} AS safe FR
 both("output_name", lambda d: f"SELECT page_id, concat({d.replace(T.safe_name(d, 'url'), '[.][A-Za-z]+$', '')}, '_zh', {d.extract('url', '[.][A-Za-z]+$')}) AS name FROM pages")
 both("human_size", lambda d: f"SELECT doc_id, CASE WHEN n_chars <= 0 THEN '0' WHEN n_chars < 1048576 THEN concat(CAST(CAST(floor(n_chars / 1024.0 + 0.5) AS BIGINT) AS STRING), ' KB') ELSE concat(CAST(CAST(floor(n_chars / 104857.6 + 0.5) AS BIGINT) / 10.0 AS STRING), ' MB') END AS size FROM documents")
 both("phase_text", lambda d: "SELECT event_id, CASE WHEN event_type LIKE '%sign%' THEN 'queued' WHEN event_type LIKE '%view%' THEN 'reading' WHEN event_type LIKE '%click%' THEN 'translating' WHEN event_type LIKE '%purchase%' THEN 'done' ELSE 'failed' END AS phase FROM events")
-#: The given SQL stops at the twentieth line.
-both("prompt_numbering", lambda d: f"SELECT doc_id, {d.join('concat(CAST(i + 1 AS STRING), ' + chr(39) + '. ' + chr(39) + ', line)', ' | ', 'i')} AS prompt FROM {_stripped(d)} s GROUP BY doc_id", lambda d: f"SELECT doc_id, {d.join('concat(CAST(i + 1 AS STRING), ' + chr(39) + '. ' + chr(39) + ', line)', ' | ', 'i')} AS prompt FROM {_stripped(d)} s WHERE i < 20 GROUP BY doc_id")
+both("prompt_numbering", lambda d: f"SELECT doc_id, {d.join('concat(CAST(i + 1 AS STRING), ' + chr(39) + '. ' + chr(39) + ', line)', ' | ', 'i')} AS prompt FROM {_stripped(d)} s GROUP BY doc_id")
 both("context_block", lambda d: f"SELECT doc_id, substring({d.join('line', ' / ', 'i')}, 1, 400) AS context FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM {_stripped(d)} s WHERE length(line) >= 4) c WHERE k <= 6 GROUP BY doc_id")
 both("content_hash", lambda d: f"SELECT doc_id, substring({d.hex256('text')}, 1, 12) AS content_hash FROM documents")
 both("cache_key", lambda d: f"SELECT doc_id, concat('m1/', lang, '-zh/', source, '-', CAST(n_chars AS STRING), '-', substring({d.hex256('text')}, 1, 8)) AS cache_key FROM documents")
-both("cache_hits", lambda d: f"SELECT a.doc_id, min(b.doc_id) AS first_id FROM (SELECT doc_id, {d.hex256('text')} AS h, text FROM documents) a JOIN (SELECT doc_id, {d.hex256('text')} AS h, text FROM documents) b ON a.h = b.h AND a.text = b.text AND b.doc_id < a.doc_id GROUP BY a.doc_id")
-both("cache_misses", lambda d: "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.text = d.text AND e.doc_id < d.doc_id)")
+#: A hash stands for its text, so each text is shuffled by none of its copies.
+_FIRST = lambda d: f"(SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS first_id FROM (SELECT doc_id, {d.hex256('text')} AS h FROM documents) t)"
+both("cache_hits", lambda d: f"SELECT doc_id, first_id FROM {_FIRST(d)} f WHERE first_id < doc_id", lambda d: "SELECT a.doc_id, min(b.doc_id) AS first_id FROM documents a JOIN documents b ON a.text = b.text AND b.doc_id < a.doc_id GROUP BY a.doc_id")
+both("cache_misses", lambda d: f"SELECT doc_id FROM {_FIRST(d)} f WHERE first_id = doc_id", lambda d: "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.text = d.text AND e.doc_id < d.doc_id)")
 both("bilingual_interleave", lambda d: "SELECT conv_id, turn, part, text FROM (SELECT conv_id, turn, 0 AS part, text FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn - 1, 1, text FROM conversations WHERE role = 'assistant') u")
 both("reply_parse", lambda d: f"""SELECT id, n, CASE WHEN {d.size(d.keep('v', 'x', "x IS NOT NULL AND trim(x) <> ''"))} = n THEN {d.json('body', '$.1')} END AS first, {d.size(d.keep('v', 'x', "x IS NOT NULL AND trim(x) <> ''"))} AS found FROM (
   SELECT id, n, body, {"array" if d.div == "div" else "list_value"}({d.json('body', '$.1')}, {d.json('body', '$.2')}) AS v FROM (SELECT id, n, {d.extract('reply', '[{].*[}]')} AS body FROM {d.values("(1, 1, 'json: {\"1\": \"你好\"} end'), (2, 2, 'Sure! {\"1\": \"你好\", \"2\": \"世界\"} Hope'), (3, 2, '{\"1\": \"只有一条\"}'), (4, 1, '{\"1\": \"  \"}')", 'id, n, reply')} r) b) p""")
