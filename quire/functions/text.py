@@ -21,6 +21,23 @@ LOWER_HEAD = r"""^["\x{27}({\[\x{2018}\x{201c}\x{300c}\x{300e}]*[a-z]"""
 BLANKS = r"^[\s\x{a0}\x{3000}]+|[\s\x{a0}\x{3000}]+$"
 DEDUPE_STRIP = r"[\s。，！？、；：“”‘’「」『』（）()\[\]【】·…—,.!?;:\x{22}\x{27}{}<>«»\x{2013}_/\\|-]+"
 
+#: Mathematical symbols and what may stand for each in Chinese, or itself. Fixed values.
+SYMBOLS = """('√', '根号'), ('√', '平方根'), ('√', '开方'), ('∑', '求和'), ('∑', '总和'), ('∑', '累加'), ('∑', 'Σ'), ('∏', '连乘'), ('∏', '乘积'), ('∏', 'Π'), ('∫', '积分'), ('∂', '偏导'), ('∂', '偏微分'), ('∆', '变化量'), ('∆', '增量'), ('∆', '△'), ('∆', 'Δ'),
+('≈', '约等于'), ('≈', '近似'), ('≈', '约'), ('≠', '不等于'), ('≤', '小于等于'), ('≤', '不大于'), ('≥', '大于等于'), ('≥', '不小于'), ('±', '正负'), ('±', '加减'), ('∞', '无穷'), ('∞', '无限'), ('∈', '属于'), ('⊂', '包含于'), ('⊂', '子集'), ('∪', '并集'), ('∪', '并'), ('∩', '交集'), ('∩', '交'),
+('→', '趋近'), ('→', '得到'), ('→', '推出'), ('⇒', '推出'), ('⇒', '因此'), ('π', '圆周率'), ('θ', '角度'), ('α', 'α'), ('β', 'β'), ('λ', 'λ'), ('μ', 'μ'), ('σ', 'σ'), ('Ω', 'Ω')"""
+
+
+def _encodes(c: str, codec: str) -> bool:
+    try:
+        c.encode(codec)
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+#: Characters of traditional Chinese alone, by a rule: the traditional national set has them, the simplified one does not.
+TRADITIONAL = "[" + "".join(c for c in map(chr, range(0x4E00, 0xA000)) if _encodes(c, "big5") and not _encodes(c, "gb2312")) + "]"
+
 
 def strip(d: Spark, x: str) -> str:
     return d.replace(f"coalesce({x}, '')", BLANKS, "")

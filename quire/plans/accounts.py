@@ -41,7 +41,6 @@ both("status_histogram", lambda d: f"SELECT status, count(*) AS n FROM {JOBS} j
 both("queue_stats", lambda d: f"SELECT sum(CASE WHEN status = 'queued' THEN 1 ELSE 0 END) AS queued, sum(CASE WHEN status = 'running' THEN 1 ELSE 0 END) AS running, count(DISTINCT CASE WHEN status <> 'done' THEN user_id END) AS sources FROM {JOBS} j")
 both("health_counts", lambda d: f"SELECT sum(CASE WHEN status = 'done' THEN 1 ELSE 0 END) AS done, count(*) AS n FROM (SELECT status FROM {JOBS} j ORDER BY created DESC, id DESC LIMIT 30) t")
 both("ip_day_usage", lambda d: f"SELECT {d.day('ts')} AS usage_day, user_id, count(*) AS jobs, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY GROUPING SETS (({d.day('ts')}), ({d.day('ts')}, user_id))")
-both("cost_estimate", lambda d: "SELECT l_suppkey, round((sum(l_quantity) * 1000.0 * 1.0 + sum(l_quantity) * 400.0 * 2.0) / 1000000.0, 4) AS cost, max(l_linenumber) > 0 AS is_exact FROM lineitem GROUP BY l_suppkey")
 both("channel_tokens", lambda d: "SELECT l_suppkey, CAST(sum(CAST(l_quantity AS BIGINT) * 20) AS BIGINT) AS tokens_in, CAST(sum(CAST(l_quantity AS BIGINT) * 13) AS BIGINT) AS tokens_out, count(*) AS calls FROM lineitem GROUP BY l_suppkey")
 both("channel_cost_per_1k", lambda d: "SELECT l_suppkey, 1000.0 * sum(CAST(l_quantity AS BIGINT) * 20) / (45 * count(*)) AS in_per_1k, 1000.0 * sum(CAST(l_quantity AS BIGINT) * 13) / (45 * count(*)) AS out_per_1k FROM lineitem GROUP BY l_suppkey")
 both("edge_daily_quota", lambda d: f"SELECT id, running_jobs <= 30 AND running_pages <= 2500 AS allowed FROM (SELECT id, count(*) OVER w AS running_jobs, sum(pages) OVER w AS running_pages FROM {JOBS} j WINDOW w AS (PARTITION BY CAST(created AS DATE) ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) q")

@@ -75,6 +75,19 @@ class Spark:
     def values(self, rows: str, names: str) -> str:
         return f"(SELECT * FROM VALUES {rows} AS t({names}))"
 
+    def upto(self, n: str) -> str:
+        """1 to n, which is at least 1."""
+        return f"sequence(1, {n})"
+
+    def split(self, x: str, by: str) -> str:
+        return f"split({x}, '{by}')"
+
+    def rows_of(self, array: str) -> str:
+        return f"explode({array})"
+
+    def joined(self, array: str, by: str) -> str:
+        return f"array_join({array}, '{by}')"
+
     def mode(self, x: str) -> str:
         return f"mode({x})"
 
@@ -136,6 +149,19 @@ class Duck(Spark):
     def values(self, rows: str, names: str) -> str:
         return f"(SELECT * FROM (VALUES {rows}) AS t({names}))"
 
+    def upto(self, n: str) -> str:
+        return f"range(1, {n} + 1)"
+
+    def split(self, x: str, by: str) -> str:
+        return f"string_split({x}, '{by}')"
+
+    def rows_of(self, array: str) -> str:
+        return f"unnest({array})"
+
+    def joined(self, array: str, by: str) -> str:
+        return f"array_to_string({array}, '{by}')"
+
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -48,3 +48,21 @@ def _shares(d: Spark) -> str:
 
 #: A reply of as many characters as n_chars % 500 and the lines, over the widths of a document's lines.
 both("allocate_shares", _shares)
+both("line_rects", lambda d: f"SELECT page, i, x0, y0, x1, y1 FROM {BOXES} b")
+both("min_fit_size", lambda d: f"SELECT page, floor(min(fits) * 2) / 2 AS size, sum(CASE WHEN fits < 5 THEN 1 ELSE 0 END) AS skipped FROM (SELECT page, greatest(4.0, least(size * 1.0, (x1 - x0) / 16.0)) AS fits FROM {BOXES} b) f GROUP BY page")
+#: A line of one blank to twelve characters is stretched to its column, unless a gap would grow by over 0.45 of its size.
+both("justify_gaps", lambda d: f"SELECT page, i, CASE WHEN gaps > 0 AND extra > 0 AND extra / gaps <= 0.45 * size THEN extra / gaps ELSE 0.0 END AS gap FROM (SELECT page, i, size, floor((x1 - x0) / 12.0) AS gaps, CAST(max(x1) OVER (PARTITION BY page) - x1 AS DOUBLE) AS extra FROM {BOXES} b) j")
+both("ink_color", lambda d: f"SELECT page, i, CASE WHEN 0.299 * r + 0.587 * g + 0.114 * bl < 0.5 THEN 'white' ELSE 'black' END AS ink FROM (SELECT page, i, (x0 % 11) / 10.0 AS r, (y0 % 11) / 10.0 AS g, (x1 % 11) / 10.0 AS bl FROM {BOXES} b) c")
+both("unit_order", lambda d: f"SELECT page, col, row_number() OVER (PARTITION BY page ORDER BY min(i)) AS place FROM (SELECT page, i, (x0 {d.div} 40) AS col FROM {BOXES} b) c GROUP BY page, col")
+
+
+def _paragraph_starts(d: Spark) -> str:
+    """Lines of recognised text, by column: whether a line opens a paragraph, by gap, height, left edge and what stands between."""
+    columns = f"(SELECT *, sum(opens) OVER (PARTITION BY page ORDER BY x0, i) AS col FROM (SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY page ORDER BY x0, i) <= 30 THEN 0 ELSE 1 END AS opens FROM {BOXES} b WHERE size >= 10) s)"
+    pairs = f"(SELECT page, col, i, x0, y0, x1, y1, lag(x0) OVER w AS px0, lag(y0) OVER w AS py0, lag(x1) OVER w AS px1, lag(y1) OVER w AS py1 FROM {columns} c WINDOW w AS (PARTITION BY page, col ORDER BY y0, x0, i))"
+    blocked = f"EXISTS (SELECT 1 FROM {BOXES} z WHERE z.page = p.page AND z.size < 10 AND z.y0 >= p.py1 - 1 AND z.y1 <= p.y0 + 1 AND z.x1 > least(p.x0, p.px0) AND z.x0 < greatest(p.x1, p.px1))"
+    near = "y0 - py1 >= -0.35 * least(y1 - y0, py1 - py0) AND y0 - py1 <= greatest(1.6, 0.9 * least(y1 - y0, py1 - py0)) AND abs((y1 - y0) - (py1 - py0)) <= 0.45 * greatest(y1 - y0, py1 - py0) AND abs(x0 - px0) <= 18"
+    return f"SELECT page, col, i, CASE WHEN px0 IS NOT NULL AND {near} AND NOT {blocked} THEN 0 ELSE 1 END AS opens FROM {pairs} p"
+
+
+both("ocr_paragraphs", _paragraph_starts)

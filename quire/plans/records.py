@@ -35,7 +35,6 @@ both("jobs_of_caller", lambda d: f"SELECT id, status FROM {JOBS} j WHERE user_id
 both("account_validation", lambda d: f"SELECT id, {d.like('email', '^[^@ ]+@[^@ ]+[.][a-z]+$')} AS email_ok, length(email) BETWEEN 8 AND 72 AS length_ok FROM {USERS} u")
 both("active_jobs", lambda d: f"SELECT user_id, count(*) AS n FROM {JOBS} j WHERE status IN ('queued', 'running') GROUP BY user_id")
 both("visibility_grace", lambda d: f"SELECT id, CASE WHEN status = 'done' AND pages % 2 = 0 AND created >= TIMESTAMP'1998-07-01 00:00:00' THEN 'running' ELSE status END AS shown FROM {JOBS} j")
-both("run_adoption", lambda d: "SELECT o_orderkey, first_id FROM (SELECT o.o_orderkey, min(l.l_linenumber) AS first_id FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey) a")
 both("zip_contract", lambda d: "SELECT conv_id, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS sources, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS drafts, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) = sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS matches FROM conversations GROUP BY conv_id")
 both("only_translated", lambda d: "SELECT conv_id, turn FROM (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS draft FROM conversations) c WHERE role = 'user' AND draft <> '' AND draft <> text")
 both("refine_status", lambda d: "SELECT conv_id, CASE WHEN sum(CASE WHEN length(text) > 40 THEN 1 ELSE 0 END) = count(*) THEN 'ok' WHEN sum(CASE WHEN length(text) > 40 THEN 1 ELSE 0 END) = 0 THEN 'failed' ELSE 'partial' END AS status FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
@@ -45,9 +44,6 @@ both("append_redemptions", lambda d: f"SELECT id, used_count FROM {INVITES} i UN
 both("logout_cascade", lambda d: "SELECT e.event_id FROM events e LEFT JOIN (SELECT user_id, max(ts) AS last_error FROM events WHERE event_type = 'error' GROUP BY user_id) x ON x.user_id = e.user_id WHERE x.last_error IS NULL OR e.ts > x.last_error")
 both("elapsed_seconds", lambda d: f"SELECT event_id, greatest(0, {d.seconds('ts')} - 1704067200 - event_id % 5000) AS elapsed FROM events")
 both("progress_percent", lambda d: "SELECT event_id, CASE WHEN event_type = 'purchase' THEN 100 ELSE least(97, CAST(floor(value + 0.5) AS BIGINT)) END AS percent FROM events")
-both("protocol_alias", lambda d: "SELECT s_suppkey, CASE s_nationkey % 4 WHEN 0 THEN 'chat' WHEN 1 THEN 'responses' WHEN 2 THEN 'chat' ELSE 'unknown' END AS protocol FROM supplier")
 both("batch_route", lambda d: "SELECT l_orderkey, CASE WHEN avg(l_quantity) < 20 THEN 'strong,primary' ELSE 'primary,reserve' END AS chain FROM lineitem GROUP BY l_orderkey")
 both("resolved_config", lambda d: "SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 3 = 0 THEN 'override' END, CASE WHEN s_acctbal > 0 THEN 'profile' END, 'environment') AS origin FROM supplier")
-both("automation_jobs", lambda d: f"SELECT page_id, {d.like('url', '(?i)^https?://(www|m)[.]')} AS automatic FROM pages")
-both("rate_limit_errors", lambda d: f"SELECT id, {d.like('lower(v)', '429|rate.?limit|quota|too many|nan')} AS limited FROM {d.values(OPTIONS, 'id, v')} o")
 both("control_chars", lambda d: f"SELECT doc_id, {d.hex256(d.replace(d.replace('text', '\\r\\n?', chr(10)), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', ''))} AS clean_hash FROM documents")

@@ -105,5 +105,46 @@ both("ledger_once", lambda d: "SELECT user_id, event_id, value FROM (SELECT user
 both("ttl_live_rows", lambda d: "SELECT event_id FROM events WHERE ts >= TIMESTAMP'2024-01-28 00:00:00' OR (event_type = 'signup' AND ts >= TIMESTAMP'2024-01-01 00:00:00')")
 both("job_last_state", lambda d: "SELECT user_id, CASE WHEN event_type IN ('view', 'click') THEN 'error' ELSE event_type END AS state FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) e WHERE k = 1")
 both("event_tail", lambda d: "SELECT user_id, event_id, seq FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events) e WHERE back <= 20 AND seq > 3")
-both("failover_replay", lambda d: "SELECT user_id, min(CASE WHEN event_type <> 'error' THEN event_id END) AS first_ok, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS fallbacks FROM events GROUP BY user_id")
 both("daily_counters", lambda d: f"SELECT {d.day('ts')} AS usage_day, count(*) AS n FROM events GROUP BY {d.day('ts')}")
+
+
+# --- units of lines with boxes --------------------------------------------------------------------
+
+#: Lines of documents on a page of their own, in boxes by rule: every fifth is indented, every seventh larger, every sixth after a gap.
+BOXED = lambda d: f"(SELECT doc_id, k, line, 72 + CASE WHEN k % 5 = 4 THEN 30 ELSE 0 END AS x0, 16 * k + 20 * (k {d.div} 6) AS y0, 16 * k + 20 * (k {d.div} 6) + 13 AS y1, 11 + CASE WHEN k % 7 = 6 THEN 3 ELSE 0 END AS size FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, line FROM (SELECT doc_id, i, {T.strip(d, 'line')} AS line FROM {d.lines()} l) s WHERE line <> '') n)"
+
+
+def followers(d: Spark, rows: str) -> str:
+    """doc_id, k, n, follows, glue of ``rows`` (doc_id, k, line, x0, y0, y1, size): whether a line goes on with the one before, by text, left edge, gap and size.
+
+    The gap may be that of three quarters of the size, six points, or 1.35 of the page's usual one: its fifth from below, of at least four.
+    """
+    w = "WINDOW w AS (PARTITION BY doc_id ORDER BY k)"
+    before = f"(SELECT *, coalesce(lag(line) OVER w, '') AS prev, x0 - lag(x0) OVER w AS shift, y0 - lag(y1) OVER w AS gap, lag(size) OVER w AS psize FROM {rows} r {w})"
+    ranked = f"(SELECT doc_id, gap, row_number() OVER (PARTITION BY doc_id ORDER BY gap, k) - 1 AS place, count(*) OVER (PARTITION BY doc_id) AS n FROM {before} b WHERE gap > 0)"
+    usual = f"(SELECT doc_id, gap AS usual FROM {ranked} g WHERE n >= 4 AND place = n {d.div} 5)"
+    hyphen = f"({d.like('prev', '[-­]$')} AND {d.like('line', '^[a-z]')})"
+    fits = "abs(shift) <= 15 AND gap >= -3 AND gap <= greatest(6.0, 0.75 * psize, 1.35 * coalesce(usual, 0)) AND abs(size - psize) <= 1.5"
+    return f"(SELECT b.doc_id, k, CAST(length(line) AS BIGINT) AS n, coalesce({T.can_follow(d, 'prev', 'line')} AND {fits}, false) AS follows, CAST(CASE WHEN {hyphen} THEN -1 ELSE 1 END AS BIGINT) AS glue FROM {before} b LEFT JOIN {usual} u ON u.doc_id = b.doc_id)"
+
+
+_JOINS = "(x.follows AND s.c < 12 AND s.chars + x.glue + x.n <= 1500)"
+_MERGED = lambda d: walk(d, followers(d, BOXED(d)), "doc_id", "k", {"unit": "0", "c": "1", "chars": "x.n"}, {"unit": f"s.unit + CASE WHEN {_JOINS} THEN 0 ELSE 1 END", "c": f"CASE WHEN {_JOINS} THEN s.c + 1 ELSE 1 END", "chars": f"CASE WHEN {_JOINS} THEN s.chars + x.glue + x.n ELSE x.n END"}, "doc_id, k, =unit")
+catalog.add("merge_units_boxes", lambda spark, sf: folds.merge_units(_frame(lambda d: f"SELECT * FROM {followers(d, BOXED(d))} f")(spark, sf)), _MERGED)
+
+
+def _translate_stats(spark, sf_dir):
+    sent = _frame(lambda d: f"SELECT * FROM {units(d)} u")(spark, sf_dir)
+    batches = folds.greedy_batches(sent, 60, 6000).join(sent, ["doc_id", "k"])
+    done = batches.groupBy("doc_id").agg((F.max("batch") + 1).alias("batches"), F.count("*").alias("sent"), F.sum("n").cast("long").alias("chars_in"))
+    lines = _frame(lambda d: f"SELECT doc_id, count(*) AS n_lines FROM {d.lines()} l GROUP BY doc_id")(spark, sf_dir)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return lines.join(done, "doc_id", "left").select("doc_id", zero("batches"), zero("chars_in"), (F.col("n_lines") - F.coalesce("sent", F.lit(0))).alias("skipped"))
+
+
+_GREEDY = lambda d: walk(d, units(d), "doc_id", "k", {"batch": "0", "c": "1", "chars": "x.n"}, {"batch": "s.batch + CASE WHEN (s.c + 1 > 60 OR s.chars + x.n > 6000) THEN 1 ELSE 0 END", "c": "CASE WHEN (s.c + 1 > 60 OR s.chars + x.n > 6000) THEN 1 ELSE s.c + 1 END", "chars": "CASE WHEN (s.c + 1 > 60 OR s.chars + x.n > 6000) THEN x.n ELSE s.chars + x.n END"}, "doc_id, k, n, =batch")
+catalog.add(
+    "translate_stats",
+    _translate_stats,
+    lambda d: f"SELECT l.doc_id, coalesce(g.batches, 0) AS batches, coalesce(g.chars_in, 0) AS chars_in, l.n_lines - coalesce(g.sent, 0) AS skipped FROM (SELECT doc_id, count(*) AS n_lines FROM {d.lines()} x GROUP BY doc_id) l LEFT JOIN (SELECT doc_id, max(batch) + 1 AS batches, count(*) AS sent, CAST(sum(n) AS BIGINT) AS chars_in FROM ({_GREEDY(d)}) w GROUP BY doc_id) g ON g.doc_id = l.doc_id",
+)

@@ -31,7 +31,6 @@ both("docx_skip_reasons", lambda d: f"SELECT reason, count(*) AS n FROM (SELECT
 both("protected_pages", lambda d: f"SELECT page_id, {d.like('html', '<(a|img|script)[ >]')} AS protected, CAST({d.count('html', '<img')} AS BIGINT) AS images, CAST({d.count('html', '<a ')} AS BIGINT) AS links FROM pages")
 both("skipped_line_count", lambda d: f"SELECT doc_id, sum(CASE WHEN line <> '' AND ({d.like('line', T.CJK)} OR {d.like('line', T.NO_LETTER)}) THEN 1 ELSE 0 END) AS skipped FROM {_stripped(d)} s GROUP BY doc_id")
 both("line_numbering", lambda d: f"SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS unit, length(line) AS n_chars FROM {_stripped(d)} s WHERE {T.needs_translation(d, 'line')}")
-both("page_range_select", lambda d: f"SELECT doc_id, i, line FROM {d.lines()} l WHERE i + 1 IN (1, 2, 3, 5)")
 both("text_layer_check", lambda d: f"SELECT doc_id, max(CASE WHEN line <> '' THEN 1 ELSE 0 END) = 1 AS has_text FROM {_stripped(d)} s GROUP BY doc_id")
 both("format_detection", lambda d: f"SELECT page_id, CASE {d.extract('lower(url)', '[.][a-z]+$')} WHEN '.html' THEN 'html' WHEN '.pdf' THEN 'pdf' WHEN '.docx' THEN 'docx' END AS format FROM pages")
 both("merge_flags", lambda d: f"SELECT doc_id, i, {T.can_follow(d, 'coalesce(prev, ' + chr(39) * 2 + ')', 'line')} AS follows FROM (SELECT doc_id, i, line, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM {_stripped(d)} s) p")
@@ -56,14 +55,15 @@ _FIRST = lambda d: f"(SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS first_
 both("cache_hits", lambda d: f"SELECT doc_id, first_id FROM {_FIRST(d)} f WHERE first_id < doc_id", lambda d: "SELECT a.doc_id, min(b.doc_id) AS first_id FROM documents a JOIN documents b ON a.text = b.text AND b.doc_id < a.doc_id GROUP BY a.doc_id")
 both("cache_misses", lambda d: f"SELECT doc_id FROM {_FIRST(d)} f WHERE first_id = doc_id", lambda d: "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.text = d.text AND e.doc_id < d.doc_id)")
 both("bilingual_interleave", lambda d: "SELECT conv_id, turn, part, text FROM (SELECT conv_id, turn, 0 AS part, text FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn - 1, 1, text FROM conversations WHERE role = 'assistant') u")
-both("reply_parse", lambda d: f"""SELECT id, n, CASE WHEN {d.size(d.keep('v', 'x', "x IS NOT NULL AND trim(x) <> ''"))} = n THEN {d.json('body', '$.1')} END AS first, {d.size(d.keep('v', 'x', "x IS NOT NULL AND trim(x) <> ''"))} AS found FROM (
-  SELECT id, n, body, {"array" if d.div == "div" else "list_value"}({d.json('body', '$.1')}, {d.json('body', '$.2')}) AS v FROM (SELECT id, n, {d.extract('reply', '[{].*[}]')} AS body FROM {d.values("(1, 1, 'json: {\"1\": \"你好\"} end'), (2, 2, 'Sure! {\"1\": \"你好\", \"2\": \"世界\"} Hope'), (3, 2, '{\"1\": \"只有一条\"}'), (4, 1, '{\"1\": \"  \"}')", 'id, n, reply')} r) b) p""")
+#: (batch, item, source, value) of each rule in turn; a value that is null was not given.
+CHECKED = PAIRS + ", ('k', 1, 'Here is the text', '这裡是文本'), ('l', 1, 'one', '一'), ('l', 2, 'two', null), ('m', 1, '√2 and ≤', '根号二，小于等于'), ('n', 1, 'α ∑ x', 'α x'), ('o', 1, '……', '……'), ('p', 1, '原文', '原文：'), ('q', 1, 'α', 'A')"
+_LOST = lambda d: f"(SELECT DISTINCT b, idx FROM (SELECT p.b, p.idx, m.sym, max(CASE WHEN p.v LIKE concat('%', m.alt, '%') THEN 1 ELSE 0 END) AS kept FROM {d.values(CHECKED, 'b, idx, s, v')} p JOIN {d.values(T.SYMBOLS, 'sym, alt')} m ON p.s LIKE concat('%', m.sym, '%') AND p.v NOT LIKE concat('%', m.sym, '%') GROUP BY p.b, p.idx, m.sym) k WHERE kept = 0)"
 both(
     "hard_validation",
-    lambda d: f"""SELECT b, CASE WHEN min(bad) IS NULL THEN 'pass' ELSE substring(min(bad), 5) END AS reason FROM (
-      SELECT b, substring(CAST(1000 + idx AS STRING), 2) || '0' || (CASE WHEN v = '' OR {d.like('v', '[\\n\\r]')} THEN 'empty' WHEN {d.like('v', T.NOTES)} THEN 'note' WHEN v <> s AND {d.like('v', T.ELLIPSIS)} THEN 'ellipsis'
-        WHEN v = pv AND s <> ps AND length(s) >= 10 AND length(ps) >= 10 THEN 'merged' WHEN s LIKE '%≤%' AND v NOT LIKE '%≤%' AND v NOT LIKE '%<=%' THEN 'symbol' WHEN length(s) >= 10 AND length(v) > 2.2 * length(s) + 30 THEN 'long' END) AS bad
-      FROM (SELECT *, lag(v) OVER (PARTITION BY b ORDER BY idx) AS pv, lag(s) OVER (PARTITION BY b ORDER BY idx) AS ps FROM {d.values(PAIRS, 'b, idx, s, v')} t) x) y GROUP BY b""",
+    lambda d: f"""SELECT b, CASE WHEN max(CASE WHEN v IS NULL THEN 1 ELSE 0 END) = 1 THEN 'count' WHEN min(bad) IS NULL THEN 'pass' ELSE substring(min(bad), 6) END AS reason FROM (
+      SELECT b, v, lpad(CAST(idx AS STRING), 4, '0') || ':' || (CASE WHEN v = '' OR {d.like('v', '[\n\r]')} THEN 'empty' WHEN {d.like('v', T.NOTES)} THEN 'note' WHEN v <> s AND {d.like('v', T.ELLIPSIS)} THEN 'ellipsis' WHEN v <> s AND {d.like('v', T.TRADITIONAL)} THEN 'traditional'
+        WHEN v = pv AND s <> ps AND length(s) >= 10 AND length(ps) >= 10 THEN 'merged' WHEN lost THEN 'symbol' WHEN length(s) >= 10 AND length(v) > 2.2 * length(s) + 30 THEN 'long' END) AS bad
+      FROM (SELECT *, lag(v) OVER (PARTITION BY b ORDER BY idx) AS pv, lag(s) OVER (PARTITION BY b ORDER BY idx) AS ps FROM (SELECT t.b, t.idx, t.s, t.v, l.b IS NOT NULL AS lost FROM {d.values(CHECKED, 'b, idx, s, v')} t LEFT JOIN {_LOST(d)} l ON l.b = t.b AND l.idx = t.idx) e) x) y GROUP BY b""",
 )
 both("legacy_validation", lambda d: "SELECT conv_id, max(CASE WHEN n > 1 THEN 1 ELSE 0 END) = 0 AS passes FROM (SELECT conv_id, text, count(DISTINCT turn) AS n FROM conversations WHERE role = 'assistant' GROUP BY conv_id, text) t GROUP BY conv_id")
 both(
@@ -79,13 +79,18 @@ both(
 )
 both("math_symbol_loss", lambda d: f"SELECT p.b, p.idx, m.sym FROM {d.values(PAIRS, 'b, idx, s, v')} p JOIN {d.values(SYMBOLS, 'sym, alt')} m ON p.s LIKE concat('%', m.sym, '%') AND p.v NOT LIKE concat('%', m.sym, '%') AND lower(p.v) NOT LIKE concat('%', lower(m.alt), '%')")
 _HIT = lambda d, text, en: f"CASE WHEN {en} LIKE '% %' OR {en} LIKE '%-%' THEN lower({text}) LIKE concat('%', lower({en}), '%') ELSE {d.like(text, 'X').replace(d.raw('X'), chr(39).join(['concat(', '(?i)(^|[^A-Za-z])(', f', {en}, ', '|', f', {en}, ', 's)($|[^A-Za-z])', ')']))} END"
-both("glossary_hits_topk", lambda d: f"SELECT doc_id, en, k FROM (SELECT doc_id, en, row_number() OVER (PARTITION BY doc_id ORDER BY length(en) DESC, en) AS k FROM (SELECT DISTINCT t.doc_id, g.en FROM documents t JOIN {d.values(GLOSSARY, 'grp, en, zh, ord')} g ON {_HIT(d, 't.text', 'g.en')}) h) r WHERE k <= 20")
-both("glossary_usage", lambda d: f"SELECT g.en, count(DISTINCT t.doc_id) AS n_docs FROM documents t JOIN {d.values(GLOSSARY, 'grp, en, zh, ord')} g ON {_HIT(d, 't.text', 'g.en')} GROUP BY g.en")
+#: Single words meet the words of a text by equality; terms of several words, of which a glossary has few, are looked for in the text.
+_SINGLES = lambda d: f"(SELECT DISTINCT en, variant FROM (SELECT en, lower(en) AS variant FROM {d.values(GLOSSARY, 'grp, en, zh, ord')} g UNION ALL SELECT en, concat(lower(en), 's') FROM {d.values(GLOSSARY, 'grp, en, zh, ord')} g) v WHERE en NOT LIKE '% %' AND en NOT LIKE '%-%')"
+_PHRASES = lambda d: f"(SELECT DISTINCT en FROM {d.values(GLOSSARY, 'grp, en, zh, ord')} g WHERE en LIKE '% %' OR en LIKE '%-%')"
+_WORDS = lambda d: f"(SELECT doc_id, {d.rows_of(('array_distinct' if d.div == 'div' else 'list_distinct') + '(' + d.split(d.replace('lower(text)', '[^a-z]+', ' '), ' ') + ')')} AS word FROM documents)"
+_FOUND = lambda d: f"(SELECT DISTINCT w.doc_id, s.en FROM {_WORDS(d)} w JOIN {_SINGLES(d)} s ON s.variant = w.word UNION ALL SELECT t.doc_id, p.en FROM documents t JOIN {_PHRASES(d)} p ON lower(t.text) LIKE concat('%', lower(p.en), '%'))"
+_LOOKED = lambda d: f"(SELECT DISTINCT t.doc_id, g.en FROM documents t JOIN {d.values(GLOSSARY, 'grp, en, zh, ord')} g ON {_HIT(d, 't.text', 'g.en')})"
+for _name, _of in (("glossary_hits_topk", lambda d, rows: f"SELECT doc_id, en, k FROM (SELECT doc_id, en, row_number() OVER (PARTITION BY doc_id ORDER BY length(en) DESC, en) AS k FROM {rows} h) r WHERE k <= 20"), ("glossary_usage", lambda d, rows: f"SELECT en, count(*) AS n_docs FROM {rows} h GROUP BY en")):
+    both(_name, lambda d, of=_of: of(d, _FOUND(d)), lambda d, of=_of: of(d, _LOOKED(d)))
 both("glossary_merge", lambda d: f"SELECT en, zh FROM (SELECT en, zh, row_number() OVER (PARTITION BY en ORDER BY ord) AS k FROM {d.values(GLOSSARY, 'grp, en, zh, ord')} g WHERE length(en) >= 2 AND zh <> '') r WHERE k = 1")
 both("glossary_conflicts", lambda d: f"SELECT a.en, a.zh AS kept, b.zh AS refused FROM {d.values(GLOSSARY, 'grp, en, zh, ord')} a JOIN {d.values(GLOSSARY, 'grp, en, zh, ord')} b ON a.en = b.en AND a.ord < b.ord AND a.zh <> b.zh")
 both("glossary_group_sizes", lambda d: f"SELECT grp, count(*) AS n FROM {d.values(GLOSSARY, 'grp, en, zh, ord')} g GROUP BY grp")
 both("term_loss", lambda d: f"SELECT p.b, g.en FROM (SELECT b, {d.join('s', ' ', 'idx')} AS s, {d.join('v', ' ', 'idx')} AS v FROM {d.values(PAIRS, 'b, idx, s, v')} t GROUP BY b) p JOIN {d.values(GLOSSARY, 'grp, en, zh, ord')} g ON length(g.en) >= 8 AND length(g.zh) >= 2 AND p.v NOT LIKE concat('%', g.zh, '%') AND {_HIT(d, 'p.s', 'g.en')}")
 both("hard_batches", lambda d: f"SELECT doc_id, batch, (avg(CASE WHEN length(line) <= 24 THEN 1.0 ELSE 0.0 END) >= 0.5 OR avg(CASE WHEN {d.like('line', T.LATIN)} AND length(line) - length(replace(line, ' ', '')) <= 2 THEN 1.0 ELSE 0.0 END) >= 0.4 OR avg(CASE WHEN {d.like('line', '[0-9]')} THEN 1.0 ELSE 0.0 END) >= 0.4) AS hard FROM (SELECT doc_id, i {d.div} 40 AS batch, line FROM {_stripped(d)} s WHERE line <> '') b GROUP BY doc_id, batch")
 both("batch_fixed_clamped", lambda d: f"SELECT doc_id, batch, count(*) AS n, sum(length(line)) AS n_chars FROM (SELECT doc_id, line, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) {d.div} 30 AS batch FROM {_stripped(d)} s WHERE line <> '') b GROUP BY doc_id, batch")
-both("retry_ladder", lambda d: f"SELECT source, r20, count(*) AS n, min(r5) AS first5, max(r5) AS last5 FROM (SELECT source, doc_id, k {d.div} 20 AS r20, k {d.div} 5 AS r5 FROM (SELECT source, d.doc_id, row_number() OVER (PARTITION BY source ORDER BY d.doc_id) - 1 AS k FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 0) a) b GROUP BY source, r20")
 both("neighbour_similarity", lambda d: f"SELECT doc_id, i, 100 * {d.both('g', 'h')} >= 45 * ({d.size('g')} + {d.size('h')} - {d.both('g', 'h')}) AS alike FROM (SELECT doc_id, i, {d.grams('c')} AS g, {d.grams('p')} AS h FROM (SELECT doc_id, i, c, lag(c) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM (SELECT doc_id, i, {d.replace('line', T.DEDUPE_STRIP, '')} AS c FROM {d.lines()} l) a) b WHERE length(c) >= 6 AND length(p) >= 6) x")
