@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quire.plans import accounts, geometry, model, records, rules, state, units
+from quire.plans import accounts, geometry, layouts, model, records, rules, state, units
 from quire.streaming import jobs
 
 FLAGSHIP = "batch_greedy_60_6000"
-_CATALOGS = (units.catalog, rules.catalog, state.catalog, accounts.catalog, geometry.catalog, records.catalog, model.catalog, jobs.catalog)
+_CATALOGS = (units.catalog, rules.catalog, state.catalog, accounts.catalog, geometry.catalog, layouts.catalog, records.catalog, model.catalog, jobs.catalog)
 
 
 def queries() -> dict:

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire import scratch
 from quire.plans.dialect import Catalog
+from quire.plans.state import hits, walk
 
 catalog = Catalog()
 
@@ -23,9 +24,20 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def once(events: DataFrame, late: str = "40 days") -> DataFrame:
-    """The first row of each user and type within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "event_type"])
+def once(stream: DataFrame, label: str = "once") -> DataFrame:
+    """The first row of each user and type, by time and event_id among those that came in one micro-batch; later batches add new pairs only."""
+    spark, path = stream.sparkSession, scratch.new_path(stream.sparkSession, label)
+    keys, columns = ["user_id", "event_type"], stream.columns
+
+    def add(rows: DataFrame, batch: int) -> None:
+        first = rows.groupBy(*keys).agg(F.min(F.struct("ts", "event_id", *[c for c in columns if c not in ("ts", "event_id", *keys)])).alias("r")).select(*keys, "r.*").select(*columns)
+        if batch:
+            first = first.join(spark.read.schema(stream.schema).parquet(path).select(*keys), keys, "left_anti")
+        # a batch that runs again writes its own folder again
+        first.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    stream.writeStream.option("checkpointLocation", scratch.new_path(spark, f"{label}-state")).trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def progress(events: DataFrame) -> DataFrame:
@@ -58,6 +70,11 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-catalog.add("stream_once", lambda spark, sf: drain(once(event_stream(spark, sf)), "once").select("user_id", "event_type", "event_id"))
-catalog.add("stream_progress", lambda spark, sf: drain(progress(event_stream(spark, sf)), "progress", "complete"))
-catalog.add("stream_rate_limit", lambda spark, sf: drain(rate_limit(event_stream(spark, sf)), "limits", "update"))
+def last_of(updates: DataFrame, key: str, by: str) -> DataFrame:
+    """The last row of each key of an updating stream, whose ``by`` never falls."""
+    return updates.groupBy(key).agg(F.max_by(F.struct(*[c for c in updates.columns if c != key]), by).alias("r")).select(key, "r.*")
+
+
+catalog.add("stream_once", lambda spark, sf: once(event_stream(spark, sf)).select("user_id", "event_type", "event_id"), lambda d: "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) e WHERE k = 1")
+catalog.add("stream_progress", lambda spark, sf: last_of(drain(progress(event_stream(spark, sf)), "progress", "update"), "user_id", "n"), lambda d: "SELECT user_id, max(value) AS done, count(*) AS n FROM events GROUP BY user_id")
+catalog.add("stream_rate_limit", lambda spark, sf: last_of(drain(rate_limit(event_stream(spark, sf)), "limits", "update"), "user_id", "hits"), lambda d: f"SELECT user_id, count(*) AS hits, CAST(sum(CASE WHEN over THEN 1 ELSE 0 END) AS BIGINT) AS over FROM ({walk(d, hits(d), 'user_id', 't, id', {'since': 'x.t', 'n': '1'}, {'since': 'CASE WHEN x.t - s.since > 86400 THEN x.t ELSE s.since END', 'n': 'CASE WHEN x.t - s.since > 86400 THEN 1 ELSE s.n + 1 END'}, 'user_id, t, id, =n > 5 AS over')}) w GROUP BY user_id")

@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from quire.operators import folds
-from quire.plans.model import translate
+from quire.plans.model import ModelError, refine, translate
 
 few = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -54,9 +54,21 @@ def test_keep_last_different(spark):
 def test_a_failing_client_keeps_the_source(spark):
     def client(texts):
         if "bad" in texts:
-            raise RuntimeError("no answer")
+            raise ModelError("no answer")
         return texts[:-1] if "short" in texts else [t.upper() for t in texts]
 
     df = spark.createDataFrame([(1, 0, ["a", "b"]), (1, 1, ["bad"]), (1, 2, ["short", "x"])], "doc_id long, batch long, texts array<string>")
     got = {r.batch: list(r["values"]) for r in translate(df, client).collect()}
     assert got == {0: ["A", "B"], 1: ["bad"], 2: ["short", "x"]}
+
+
+def test_a_failing_refiner_keeps_the_drafts(spark):
+    def client(sources, drafts):
+        if "bad" in sources:
+            raise ModelError("no answer")
+        return drafts[:-1] if "short" in sources else [d + "!" for d in drafts]
+
+    rows = [(1, 0, ["a", "b", "c"], ["A", "b", ""]), (1, 1, ["bad", "x"], ["BAD", "X"]), (1, 2, ["short", "y"], ["SHORT", "Y"]), (1, 3, ["same"], ["same"])]
+    df = spark.createDataFrame(rows, "doc_id long, batch long, texts array<string>, values array<string>")
+    got = {r.batch: (list(r.refined), r.status) for r in refine(df, client).collect()}
+    assert got == {0: (["A!", "b", ""], "ok"), 1: (["BAD", "X"], "failed"), 2: (["SHORT", "Y"], "failed"), 3: (["same"], "ok")}
