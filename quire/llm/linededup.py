@@ -127,7 +127,9 @@ def near_lines(rows: DataFrame, texts: DataFrame) -> DataFrame:
     two = spelt.select(F.col("first").alias("other"), F.col("line").alias("other_line"))
     # levenshtein with a bound gives -1 beyond it
     verified = pairs.join(spelt, "first").join(two, "other").where(F.levenshtein("line", "other_line", 1) >= 0)
-    return verified.select("id").distinct()
+    near = scratch.materialize(verified.select("id").distinct(), "line-near")
+    scratch.release(found, spelt, variants)
+    return near
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
