@@ -69,7 +69,7 @@ both("term_variants", lambda d: f"SELECT term, concat(substring(term, 1, length(
 ADDRESSES = "(1, 'anna@example.com'), (2, 'al@b.c'), (3, 'x@y.zz'), (4, 'first.last@sub.example.org'), (5, 'a@b@c.d')"
 both("email_mask_cases", lambda d: f"SELECT id, {T.email_mask(d, 'email')} AS masked FROM {d.values(ADDRESSES, 'id, email')} v")
 both("utc8_keys", lambda d: f"SELECT event_id, {d.day(d.plus('ts', 8, 'HOURS'))} AS day_key, {d.day('date_trunc(' + Q + 'month' + Q + ', ' + d.plus('ts', 8, 'HOURS') + ')')} AS month_start FROM events")
-COOKIES = "(1, 'aurora=abc%20d; theme=dark'), (2, ''), (3, ' a = 1 ;b==2;c;=x'), (4, 'k=1; k=2')"
+COOKIES = "(1, 'sid=abc%20d; theme=dark'), (2, ''), (3, ' a = 1 ;b==2;c;=x'), (4, 'k=1; k=2')"
 _NAME, _REST = "trim(split_part(trim(p), '=', 1))", "substring(trim(p), length(split_part(trim(p), '=', 1)) + 2)"
 both("cookie_parse", lambda d: f"SELECT id, name, value FROM (SELECT id, {_NAME} AS name, url_decode({_REST}) AS value, row_number() OVER (PARTITION BY id, {_NAME} ORDER BY k DESC) AS back FROM (SELECT id, k, {'parts[k - 1]' if d.div == 'div' else 'parts[k]'} AS p FROM (SELECT id, parts, {d.rows_of(d.upto(d.size('parts').replace('BIGINT', 'INT')))} AS k FROM (SELECT id, {d.split('cookie', ';')} AS parts FROM {d.values(COOKIES, 'id, cookie')} v) s) e) f) g WHERE back = 1 AND name <> ''")
 #: Spellings of the two protocols.
