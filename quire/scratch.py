@@ -8,8 +8,10 @@ executor sees it and a lost executor loses nothing.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,21 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Spark's setting by which a finished action deletes its shuffle files, in place of keeping them until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Actions inside delete their shuffle files when they end; later ones are left as the session has it."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, label: str, rows: int | None = None, rows_per_file: int = 500_000) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: a lineage cut that survives lost executors.
 
@@ -50,7 +67,8 @@ def materialize(df: DataFrame, label: str, rows: int | None = None, rows_per_fil
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    fewer(df, rows, rows_per_file).write.parquet(path)
+    with shuffles_deleted(spark):  # the written table is read from now on, so nothing asks for them again
+        fewer(df, rows, rows_per_file).write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.scratch_path = path
     return written

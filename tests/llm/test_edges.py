@@ -12,6 +12,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from quire import scratch
 from quire.llm import bpe, chat, htmlcrf, langid, packing, simhash, warc
 from tests.llm.test_text_ops import brute_components, check_pieces, encoding
 
@@ -215,3 +216,20 @@ def test_simhash_shards_are_cut_again(spark, monkeypatch):
     found = {r.fp % (1 << 64): r.rep for r in simhash.components(df).collect()}
     assert found == {f: c for (_, f), c in zip(rows, brute_components(rows), strict=True)}
     assert len(levels) >= 2
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {name for i in range(blocks.size()) if (name := blocks.apply(i).name()).startswith("shuffle_")}
+
+    table = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.count("*").alias("n")).join(spark.range(50).repartition(3).withColumnRenamed("id", "k"), "k")
+    before, setting = shuffled(), spark.conf.get(scratch.CLEANUP, None)
+    written = scratch.materialize(table, "test")
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(scratch.CLEANUP, None) == setting
+    assert written.count() == table.count() == 10
