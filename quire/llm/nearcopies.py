@@ -1,12 +1,14 @@
-"""Near copies by word shingles: MinHash bands find candidates, exact Jaccard similarity decides.
+"""Near copies by word shingles: SimHash classes are verified, and what lies beyond them is found, by exact Jaccard similarity.
 
 A text is the set of its shingles of ``SHINGLE`` words (its words as in ``simhash.fingerprint``; a shorter text is
-one shingle); equal sets collapse to one node. Nodes that share one of ``BANDS`` keys of ``ROWS`` minima each are
+one shingle); equal sets collapse to one node. The nodes of a class, whose SimHash fingerprints the trees of ``simhash`` have
+linked, are compared with the class's smallest set. Unequal texts of similarity 0.8 differ in some ten of 64 bits, beyond the
+radius of the trees; these links are completed as follows, where nodes that their class has linked already are not compared again. Nodes that share one of ``BANDS`` keys of ``ROWS`` minima each are
 candidates; at similarity 0.8 a pair shares none with a chance of 3 in a million. A key's nodes are first
 compared with the key's node of the smallest set, which links a group of near copies by as many pairs as it has members, then, as
 far as they are not linked, with a few more nodes of small sets: where texts share one passage and nothing else, these
 are like any that has a near copy. The nodes
-of keys whose members are still in several components are then joined by their rarest shingles: sets of a similarity of
+of classes and keys whose members are still in several components are then joined by their rarest shingles: sets of a similarity of
 0.8 share one of the rarest fifth of either, and the rarest one that they share leaves enough behind it. So unlike texts that met in a key by what many have in common, a licence or
 a template, are not compared pair by pair. Every link is an exact similarity of ``PERCENT`` or more.
 """
@@ -14,7 +16,7 @@ a template, are not compared pair by pair. Every link is an exact similarity of
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +58,8 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64)
 
 
-def signatures(docs: DataFrame, key: str) -> DataFrame:
-    """``key``, node, the size of its set and keys of every row of ``docs`` (key, text)."""
+def signatures(docs: DataFrame, key: str, fingerprint: Callable[[np.ndarray], int]) -> DataFrame:
+    """``key``, node, the size of its set, its ``fingerprint`` as a signed long and keys of every row of ``docs`` (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,10 +67,12 @@ def signatures(docs: DataFrame, key: str) -> DataFrame:
                 part = batch.slice(i, 256)
                 sets = [shingles(t) for t in part.column(1).to_pylist()]
                 keys = [band_keys(s) if len(s) else np.zeros(0, np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=[key, "node", "n", "keys"])
+                fps = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
+                columns = [part.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "node", "n", "fp", "keys"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, node long, n int, keys array<long>")
+    return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, node long, n int, fp long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -118,23 +122,34 @@ def _led(met: DataFrame) -> DataFrame:
     return placed.where("members > 1").drop("members")
 
 
-def components(docs: DataFrame, signed: DataFrame, key: str) -> DataFrame:
-    """node -> rep: the smallest ``key`` of each group of near copies; ``docs`` has key and text, ``signed`` their signatures.
+def _headed(met: DataFrame) -> DataFrame:
+    """``met`` (key, node, n, distinct) with the node and the size of its key's smallest set, of keys with several nodes."""
+    heads = met.groupBy("key").agg(F.min(F.struct("n", "node")).alias("head"), F.count("*").alias("members")).where("members > 1").select("key", "head.*").toDF("key", "least", "head")
+    return met.join(heads, "key")
+
 
-    What has been linked to one of its key's first nodes meets no further ones by keys, so the pairs of a round are a few
+def components(docs: DataFrame, signed: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """node -> rep: the smallest ``key`` of each group of near copies; ``docs`` has key and text, ``signed`` their signatures, ``classes`` the label of each fp.
+
+    What has been linked to its class's first node, or to one of its key's, meets no further ones by keys, so the pairs of a round are a few
     for each node, however large a group of copies is.
     """
     rows = signed.count()
     nodes = scratch.materialize(signed.groupBy("node").agg(F.min(key).alias("rep")), "near-nodes", rows)
-    met = signed.select(F.explode("keys").alias("key"), "node", "n").distinct()
-    heads = met.groupBy("key").agg(F.min(F.struct("n", "node")).alias("head"), F.count("*").alias("members")).where("members > 1").select("key", "head.*").toDF("key", "least", "head")
-    shared = scratch.materialize(met.join(heads, "key"), "near-keys", rows)
-    wanted = shared.select("node").distinct().join(nodes, "node").select("node", F.col("rep").alias(key))
+    classed = signed.select("fp", "node", "n").distinct().join(classes, "fp").select(F.col("label").alias("key"), "node", "n")
+    classed = scratch.materialize(_headed(classed), "near-classed", rows)
+    shared = scratch.materialize(_headed(signed.select(F.explode("keys").alias("key"), "node", "n").distinct()), "near-keys", rows)
+    wanted = shared.select("node").union(classed.select("node")).distinct().join(nodes, "node").select("node", F.col("rep").alias(key))
     sets = scratch.materialize(shingle_sets(docs.join(wanted, key)), "near-sets")
     # a key's nodes come in order of n, and a set that is too small for a similar one needs no comparison
     alike = lambda small: F.col(small) * 100 >= F.col("n") * PERCENT
-    first = shared.where("node <> head").where(alike("least")).select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
-    edges = scratch.materialize(similar(first, sets), "near-edges", rows)
+    pairs_of = lambda headed: headed.where("node <> head").where(alike("least")).select(F.col("node").alias("u"), F.col("head").alias("v"))
+    # a node has one class, so these links are stars around the classes' first nodes
+    stars = scratch.materialize(similar(pairs_of(classed), sets), "near-stars", rows)
+    ends = lambda end: stars.select(F.col("u").alias(end), F.col("v").alias(f"{end}_star"))
+    apart = F.coalesce("u_star", "u") != F.coalesce("v_star", "v")
+    first = pairs_of(shared).distinct().join(ends("u"), "u", "left").join(ends("v"), "v", "left").where(apart).select("u", "v")
+    edges = scratch.materialize(stars.unionByName(similar(first, sets)), "near-edges", rows)
     used, left = [edges], shared.where("node <> head").select("key", "node", "n")
     for leaders in LEADERS:
         left = scratch.materialize(_led(left.join(edges.select(F.col("u").alias("node")).distinct(), "node", "left_anti")), "near-left", rows)
@@ -145,7 +160,7 @@ def components(docs: DataFrame, signed: DataFrame, key: str) -> DataFrame:
         left = left.where(F.col("place") > leaders).select("key", "node", "n")
     found = functools.reduce(DataFrame.unionByName, [used[0], *used[2::2]])
     begun = scratch.materialize(connected_components(found, rows), "near-groups", rows)
-    grouped = shared.join(begun, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    grouped = shared.select("key", "node").union(classed.select("key", "node")).join(begun, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = grouped.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
     pending = scratch.materialize(sets.join(grouped.join(mixed, "key").select("node", "label").distinct(), "node").select("node", "label", "found"), "near-pending")
     more = scratch.materialize(similar(rare_pairs(pending), sets), "near-more", rows)
@@ -153,5 +168,5 @@ def components(docs: DataFrame, signed: DataFrame, key: str) -> DataFrame:
     linked = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = linked.groupBy("label").agg(F.min("rep").alias("least"))
     out = scratch.materialize(linked.join(least, "label").select("node", F.col("least").alias("rep")), "near-reps", rows)
-    scratch.release(nodes, shared, sets, *used, begun, pending, more)
+    scratch.release(nodes, classed, shared, sets, stars, *used, begun, pending, more)
     return out

@@ -49,7 +49,11 @@ def fingerprint(text: str | None) -> int:
     k = min(SHINGLE, len(words))
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of ``hashes``; 0 if there is none."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 15):
         part = np.unpackbits(hashes[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -276,12 +280,17 @@ def link(nodes: DataFrame) -> DataFrame:
     return routed.groupBy("shard").applyInArrow(_shard_edges, "u long, v long")
 
 
-def components(fps: DataFrame, key: str = "doc_id") -> DataFrame:
-    """fp -> rep: the smallest ``key`` reachable from each distinct fingerprint of ``fps`` (key, fp)."""
+def classes(fps: DataFrame, key: str = "doc_id") -> DataFrame:
+    """fp, rep (its smallest ``key``) and label (the class of all fingerprints reachable) of each distinct fingerprint of ``fps`` (key, fp)."""
     rows = fps.count()
     nodes = scratch.materialize(fps.groupBy("fp").agg(F.min(key).alias("rep")), "simhash-nodes", rows)
     labels = connected_components(link(nodes), rows).select(F.col("node").alias("fp"), "label")
-    linked = nodes.join(labels, "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
+    return nodes.join(labels, "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
+
+
+def components(fps: DataFrame, key: str = "doc_id") -> DataFrame:
+    """fp -> rep: the smallest ``key`` reachable from each distinct fingerprint of ``fps`` (key, fp)."""
+    linked = classes(fps, key)
     least = linked.groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     return linked.join(least, "label", "left").select("fp", F.coalesce("least", "rep").alias("rep"))
 
@@ -294,7 +303,10 @@ def op5_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies (``nearcopies``: shingles of five words, similarity 0.8 or more): the smallest doc_id, or the first of its rows where doc_ids repeat or are null.
+    """Keep one document of each group of near copies (shingles of five words, similarity 0.8 or more): the smallest doc_id, or the first of its rows where doc_ids repeat or are null.
+
+    SimHash fingerprints of the shingles meet in the vantage-point trees, as in op5; ``nearcopies`` verifies what met and finds
+    the links whose fingerprints lie further apart.
 
     ``docs`` is read more than once; what is no plain scan of files is written first, so that row numbers stay.
     """
@@ -303,7 +315,7 @@ def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = docs.select(rid.alias("rid"), "doc_id", "text")
     # rows in order of doc_id, those without one last; rid tells repeated rows apart
     keyed = own.select("rid", "text", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("k"))
-    signed = scratch.materialize(nearcopies.signatures(keyed, "k"), "near")
-    keep = nearcopies.components(keyed, signed, "k").select(F.col("rep.rid").alias("rid")).distinct()
+    signed = scratch.materialize(nearcopies.signatures(keyed, "k", majority), "near")
+    keep = nearcopies.components(keyed, signed, classes(signed.select("k", "fp"), "k"), "k").select(F.col("rep.rid").alias("rid")).distinct()
     held = docs.select(rid.alias("rid"), F.struct("*").alias("row")).join(keep, "rid", "left_semi")
     return held.select(*[F.col(f"row.`{c}`") for c in docs.columns])

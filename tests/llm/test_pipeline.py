@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quire import scratch
-from quire.llm import langid, linededup, packing, simhash
+from quire.llm import langid, linededup, nearcopies, packing, simhash
 from tests.llm.test_text_ops import brute_components, check_pieces, slow_fingerprint
 
 
@@ -118,3 +118,19 @@ def test_stages_number_rows_of_a_shuffle(spark):
     assert simhash.stage_simhash(spark, docs, "").count() == 20
     found = linededup.stage_line_dedup(spark, docs, "").collect()
     assert len(found) == 40 and sum("shared" in r.text for r in found) == 1
+
+
+def test_near_copies_meet_in_the_trees(spark, monkeypatch):
+    """Without any key, fingerprints within the trees' radius still bring near copies together, and the exact similarity decides."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in rng.integers(0, 9000, 1500)]
+    texts = [" ".join([*words[:700], f"edit{i}", *words[701:]]) for i in range(4)] + ["a b c d e", "a b c d e", " ".join(words[::-1]), ""]
+    monkeypatch.setattr(nearcopies, "band_keys", lambda found: np.zeros(0, np.int64))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [nearcopies.shingles(t) for t in texts]
+    linked = brute_components([(i, simhash.majority(s)) for i, s in enumerate(sets)])
+    assert len(set(linked)) == 4
+    assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == sorted(set(linked))
+    # equal fingerprints of unlike sets are no link
+    monkeypatch.setattr(simhash, "majority", lambda found: 0)
+    assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == [0, 4, 6, 7]
