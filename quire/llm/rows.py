@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame
 
 from quire import scratch
 
-#: What a plan holds where its rows may come in other partitions, or in another order, when it runs again.
-_UNSTEADY = ("Exchange", "Sample", "Generate", "Limit", "InMemory")
+#: The steps of a plan whose rows come in the same partitions and the same order each time it runs.
+_STEADY = {"FileSourceScanExec", "ColumnarToRowExec", "WholeStageCodegenExec", "InputAdapter", "ProjectExec", "FilterExec"}
+
+
+def _steps(plan) -> set[str]:
+    """The kinds of a physical plan's steps; its text holds places and columns besides, such as the InMemoryFileIndex of every scan."""
+    children = plan.children()
+    return {plan.getClass().getSimpleName()}.union(*(_steps(children.apply(i)) for i in range(children.size())))
 
 
 def steady(docs: DataFrame) -> DataFrame:
     """``docs`` itself where it is a plain scan of files, else its rows written to the shared folder, so that row numbers tell the same rows apart in every job."""
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    return scratch.materialize(docs, "rows") if "Scan" not in plan or any(x in plan for x in _UNSTEADY) else docs
+    return docs if _steps(docs._jdf.queryExecution().executedPlan()) <= _STEADY else scratch.materialize(docs, "rows")

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from quire import scratch
-from quire.llm import bpe, chat, htmlcrf, langid, packing, simhash, warc
+from quire.llm import bpe, chat, htmlcrf, langid, packing, rows, simhash, warc
 from tests.llm.test_text_ops import brute_components, check_pieces, encoding
 
 
@@ -233,3 +233,12 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert not left
     assert spark.conf.get(scratch.CLEANUP, None) == setting
     assert written.count() == table.count() == 10
+
+
+def test_plain_scans_are_not_copied(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    for plain in (docs, docs.select("doc_id", "text").where("doc_id > 3")):
+        assert rows.steady(plain) is plain
+    for other in (docs.repartition(3), docs.orderBy("doc_id"), docs.distinct(), docs.limit(5), docs.coalesce(1), docs.union(docs), docs.select("doc_id").groupBy("doc_id").count(), docs.select("doc_id", F.explode(F.split("text", " ")).alias("text"))):
+        copied = rows.steady(other)
+        assert copied is not other and rows.steady(copied) is copied
