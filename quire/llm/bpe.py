@@ -86,8 +86,11 @@ def _pair_table(path: str) -> tuple[str, str]:
 
 
 @functools.lru_cache(2)
-def _byte_ids(path: str) -> list[int | None]:
-    return [load_ranks(path).get(bytes([b])) for b in range(256)]
+def _byte_pairs(path: str) -> str:
+    """JSON of the elements, but for their places, that a byte x begins before a byte y at x * 257 + y, and before the end at y = 256; null where the ranks lack x."""
+    ranks, end = load_ranks(path), [b""]
+    ids = [ranks.get(bytes([x])) for x in range(256)]
+    return json.dumps([None if ids[x] is None else ranks.get(bytes([x]) + y if y else y, NO_RANK) << RANK_BIT | ids[x] for x in range(256) for y in [*(bytes([b]) for b in range(256)), *end]])
 
 
 @functools.lru_cache(2)
@@ -194,14 +197,13 @@ def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def fold_words(words: Column, path: str = RANKS) -> Column:
     """Ids of each of ``words``, whose bytes are an array unless their ids are there already. The rank map is one literal in the plan."""
-    table, starts = (F.from_json(F.lit(x), "array<bigint>") for x in _pair_table(path))
-    byte_ids = F.from_json(F.lit(json.dumps(_byte_ids(path))), "array<bigint>")
+    table, starts, byte_pairs = (F.from_json(F.lit(x), "array<bigint>") for x in (*_pair_table(path), _byte_pairs(path)))
     ids = lambda t, s, b: F.transform(words, lambda w: F.coalesce(w.ids, fold_merges(w["bytes"], t, s, b)))
-    return _bind(table, lambda t: _bind(starts, lambda s: _bind(byte_ids, lambda b: ids(t, s, b))))
+    return _bind(table, lambda t: _bind(starts, lambda s: _bind(byte_pairs, lambda b: ids(t, s, b))))
 
 
-def fold_merges(word: Column, table: Column, starts: Column, byte_ids: Column) -> Column:
-    """Ids of one word, an array of its bytes, by a pair table and the ids of single bytes."""
+def fold_merges(word: Column, table: Column, starts: Column, byte_pairs: Column) -> Column:
+    """Ids of one word, an array of its bytes, by a pair table and what single bytes begin."""
     number = lambda x: F.lit(x).cast("long")
     missing = F.raise_error(F.lit("a byte that the ranks lack")).cast("long")
 
@@ -211,26 +213,27 @@ def fold_merges(word: Column, table: Column, starts: Column, byte_ids: Column) -
         # another row's entry differs in the high bits, so it comes out above every rank; least() passes over null
         return F.shiftleft(F.least(found.bitwiseXOR(F.shiftleft(a, RANK_BIT)), number(NO_RANK)), RANK_BIT)
 
-    def first(ids: Column) -> Column:
-        return F.transform(ids, lambda a, i: rank(a, F.get(ids, i + 1)).bitwiseOR(F.shiftleft(i.cast("long"), PLACE_BIT)).bitwiseOR(a))
+    def first(x: Column, i: Column) -> Column:
+        found = F.get(byte_pairs, x.cast("int") * 257 + F.coalesce(F.get(word, i + 1).cast("int"), F.lit(256)))
+        return F.coalesce(found, missing).bitwiseOR(F.shiftleft(i.cast("long"), PLACE_BIT))
 
     def step(acc: Column, _: Column) -> Column:
         place = lambda e: e.bitwiseAND(number(LOW_MASK ^ ID_MASK))
         own_id = lambda e: e.bitwiseAND(number(ID_MASK))
 
-        def merged(least: Column, new_id: Column, at: Column) -> Column:
-            new = rank(new_id, own_id(F.get(acc, at + 2))).bitwiseOR(place(least)).bitwiseOR(new_id)
+        def merged(least: Column, new_id: Column, second: Column) -> Column:
+            new = rank(new_id, own_id(F.get(acc, second + 1))).bitwiseOR(place(least)).bitwiseOR(new_id)
             before = lambda left: left.bitwiseAND(number(LOW_MASK)).bitwiseOR(rank(own_id(left), new_id))
-            change = lambda e, i: F.when((i < at - 1) | (i > at + 1), e).when(i < at, before(e)).when(i == at, new).otherwise(number(-1))
-            # slice and concat cost far more than a pass over so few elements
-            return F.filter(F.transform(acc, change), lambda e: e >= 0)
+            # what follows the pair moves up by one place, so that places are indices throughout
+            change = lambda e, i: F.when(i > second, e - number(1 << PLACE_BIT)).when(i < second - 2, e).when(i == second, number(-1)).when(i < second - 1, before(e)).otherwise(new)
+            # slice and concat cost far more than a pass over so few elements, and a filter's function more than array_remove
+            return F.array_remove(F.transform(acc, change), number(-1))
 
-        # array_position would leave its loop by a costly exception
-        at = lambda least: F.size(F.filter(acc, lambda e: place(e) < place(least)))
-        merge = lambda least: _bind(F.shiftright(least, RANK_BIT), lambda new_id: _bind(at(least), lambda k: merged(least, new_id, k)))  # noqa: E731  the id of a merged pair is its rank
+        second = lambda least: F.shiftright(place(least), PLACE_BIT).cast("int") + 1
+        merge = lambda least: _bind(F.shiftright(least, RANK_BIT), lambda new_id: _bind(second(least), lambda k: merged(least, new_id, k)))  # noqa: E731  the id of a merged pair is its rank
         return _bind(F.array_min(acc), lambda least: F.when(least >= number(NO_RANK << RANK_BIT), acc).otherwise(merge(least)))
 
-    start = _bind(F.transform(word, lambda b: F.coalesce(F.get(byte_ids, b.cast("int")), missing)), first)
+    start = F.transform(word, first)
     steps = F.when(F.size(word) > 1, F.sequence(F.lit(2), F.size(word))).otherwise(F.expr("cast(array() as array<int>)"))
     return F.transform(F.aggregate(steps, start, step), lambda e: e.bitwiseAND(number(ID_MASK)).cast("int"))
 

@@ -242,3 +242,11 @@ def test_plain_scans_are_not_copied(spark, tiny):
     for other in (docs.repartition(3), docs.orderBy("doc_id"), docs.distinct(), docs.limit(5), docs.coalesce(1), docs.union(docs), docs.select("doc_id").groupBy("doc_id").count(), docs.select("doc_id", F.explode(F.split("text", " ")).alias("text"))):
         copied = rows.steady(other)
         assert copied is not other and rows.steady(copied) is copied
+
+
+def test_a_merge_passes_over_its_word_once(spark):
+    words = ["a", "ab", "aaaaaaaa", "abababab abab", "the quick brown foxes", "  \n\t x", "é日本", "x" * 63, "xy" * 32]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    encoded = bpe.encode(docs)
+    assert "filter(" not in encoded._jdf.queryExecution().analyzed().toString()
+    assert {r.doc_id: r.ids for r in encoded.collect()} == {i: encoding().encode_ordinary(w) for i, w in enumerate(words)}
