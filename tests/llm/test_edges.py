@@ -1,5 +1,6 @@
 """Long texts, damaged input, clashing columns and rows without labels."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -8,7 +9,9 @@ import struct
 import time
 
 import numpy as np
+import public_tokenizers
 import pytest
+import regex
 import zstandard
 from pyspark.sql import functions as F
 
@@ -250,3 +253,69 @@ def test_a_merge_passes_over_its_word_once(spark):
     encoded = bpe.encode(docs)
     assert "filter(" not in encoded._jdf.queryExecution().analyzed().toString()
     assert {r.doc_id: r.ids for r in encoded.collect()} == {i: encoding().encode_ordinary(w) for i, w in enumerate(words)}
+
+
+def merged_plainly(word, ranks):
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while len(parts) > 1:
+        rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+        if rank == 1 << 60:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
+def parts_of(words, path):
+    """Parts of every word."""
+    text = b"".join(words)
+    begins, heads = bpe.cut(text, np.cumsum([0, *map(len, words[:-1])]), bpe._joints(path))
+    parts = []
+    for head, x, y in zip(heads, begins, [*begins[1:], len(text)], strict=True):
+        parts += [[]] * bool(head)
+        parts[-1] = [*parts[-1], text[x:y]]
+    assert [b"".join(p) for p in parts] == words
+    return parts
+
+
+@pytest.mark.parametrize("places", [4, 23])
+def test_no_merge_crosses_a_cut(tmp_path, monkeypatch, places):
+    monkeypatch.setattr(bpe, "RANK_PLACES", places)
+    monkeypatch.setattr(bpe, "CROSS_PLACES", places)
+    cuts = 0
+    for seed in range(150 * places, 150 * places + 150):
+        rng = random.Random(seed)
+        letters = [bytes([x]) for x in rng.sample(range(256), rng.choice([2, 3, 4, 6]))]
+        pieces = dict.fromkeys(letters)
+        for _ in range(rng.randint(3, 60)):  # pieces made of two others, or in no order at all
+            pieces |= {b"".join(rng.choices(list(pieces) if seed % 2 else letters, k=2 if seed % 2 else rng.randint(2, 5)))[:12]: None}
+        order = list(pieces) if seed % 4 < 2 else rng.sample(list(pieces), len(pieces))
+        path = tmp_path / f"{seed}.tiktoken"
+        path.write_bytes(b"\n".join(base64.b64encode(p) + b" %d" % i for i, p in enumerate(order)))
+        ranks, words = bpe.load_ranks(str(path)), [b"".join(rng.choices(letters, k=rng.randint(1, 24))) for _ in range(40)]
+        for word, parts in zip(words, parts_of(words, str(path)), strict=True):
+            cuts += len(parts) - 1
+            assert [i for p in parts for i in merged_plainly(p, ranks)] == merged_plainly(word, ranks)
+    assert cuts > 0
+
+
+def test_words_share_the_parts_they_are_folded_by(spark, tiny):
+    texts = [r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect() if r.text]
+    words = list({w: None for t in texts for w in regex.findall(public_tokenizers.PATTERN, t)})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    (block,) = bpe.blocks(docs, bpe.RANKS, public_tokenizers.PATTERN).collect()
+    assert len(block["words"]) == len(words)
+    folded = [bytes(p["bytes"]) for p in block["parts"]]
+    assert len(set(folded)) == len(folded)
+    assert [b"".join(folded[i] for i in w).decode() for w in block["words"]] == words
+    assert 3 * sum(map(len, folded)) < 2 * sum(len(w.encode()) for w in words)
+    assert {r.doc_id: r.ids for r in bpe.encode(docs).collect()} == {i: encoding().encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_cuts_of_blocks_at_odd_places(spark, monkeypatch):
+    texts = ["", None, "x", "a" * 200, "the quick brown foxes jumped over " * 3, "日本語 é" * 40, "=" * 90 + " ciónuemiñ thenining"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for size in (1, 7, 1 << 17):
+        monkeypatch.setattr(bpe, "CUT_BYTES", size)
+        for chars in (1, 1000):
+            monkeypatch.setattr(bpe, "BLOCK_CHARS", chars)
+            assert {r.doc_id: r.ids for r in bpe.encode(docs).collect()} == {i: encoding().encode_ordinary(t or "") for i, t in enumerate(texts)}
