@@ -203,11 +203,13 @@ def stage_language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pred, score = predict(batch.column("text"), shared.value)
-            ok = np.array([p != UNDETERMINED for p in pred], bool) & (score >= MIN_SCORE) if shared.value[0] else np.ones(batch.num_rows, bool)
-            given = batch.column("lang").to_pylist()
-            out = [pa.array([g if g is not None else p for g, p in zip(given, pred, strict=True)], pa.string()) if c == "lang" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(ok))
+        for whole in batches:
+            for i in range(0, whole.num_rows, 512):  # else a worker and the JVM hold all the texts of a batch once more on their way back
+                batch = whole.slice(i, 512)
+                pred, score = predict(batch.column("text"), shared.value)
+                ok = np.array([p != UNDETERMINED for p in pred], bool) & (score >= MIN_SCORE) if shared.value[0] else np.ones(batch.num_rows, bool)
+                given = batch.column("lang").to_pylist()
+                out = [pa.array([g if g is not None else p for g, p in zip(given, pred, strict=True)], pa.string()) if c == "lang" else batch.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(ok))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -140,7 +140,8 @@ def components(docs: DataFrame, signed: DataFrame, classes: DataFrame, key: str)
     classed = scratch.materialize(_headed(classed), "near-classed", rows)
     shared = scratch.materialize(_headed(signed.select(F.explode("keys").alias("key"), "node", "n").distinct()), "near-keys", rows)
     wanted = shared.select("node").union(classed.select("node")).distinct().join(nodes, "node").select("node", F.col("rep").alias(key))
-    sets = scratch.materialize(shingle_sets(docs.join(wanted, key)), "near-sets")
+    with scratch.text_batches(docs.sparkSession):
+        sets = scratch.materialize(shingle_sets(docs.join(wanted, key)), "near-sets")
     # a key's nodes come in order of n, and a set that is too small for a similar one needs no comparison
     alike = lambda small: F.col(small) * 100 >= F.col("n") * PERCENT
     pairs_of = lambda headed: headed.where("node <> head").where(alike("least")).select(F.col("node").alias("u"), F.col("head").alias("v"))

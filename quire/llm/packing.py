@@ -235,7 +235,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def pack(docs: DataFrame, path: str = TOKENIZER, sequence: int = SEQUENCE, with_ids: bool = True) -> DataFrame:
     """The pieces of all documents; ``with_ids`` adds each piece's ids as an array of integers."""
-    ready = scratch.materialize(tokenized(docs, path), "tokens")
+    with scratch.text_batches(docs.sparkSession):
+        ready = scratch.materialize(tokenized(docs, path), "tokens")
     ordered = ready.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "ids")
     names = [x.split()[0] for x in PIECES.split(", ")]
 

@@ -315,7 +315,8 @@ def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = docs.select(rid.alias("rid"), "doc_id", "text")
     # rows in order of doc_id, those without one last; rid tells repeated rows apart
     keyed = own.select("rid", "text", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("k"))
-    signed = scratch.materialize(nearcopies.signatures(keyed, "k", majority), "near")
+    with scratch.text_batches(spark):
+        signed = scratch.materialize(nearcopies.signatures(keyed, "k", majority), "near")
     keep = nearcopies.components(keyed, signed, classes(signed.select("k", "fp"), "k"), "k").select(F.col("rep.rid").alias("rid")).distinct()
     held = docs.select(rid.alias("rid"), F.struct("*").alias("row")).join(keep, "rid", "left_semi")
     return held.select(*[F.col(f"row.`{c}`") for c in docs.columns])

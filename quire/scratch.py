@@ -49,15 +49,32 @@ def _delete(spark: SparkSession, path: str) -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows and bytes of a batch that Spark hands to Python where the rows hold whole texts. Its own 10,000 rows are some 35 MB of
+#: text, which an executor holds several times for each task: as vectors, as the message, and in the worker.
+TEXT_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
 @contextlib.contextmanager
-def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
-    """Actions inside delete their shuffle files when they end; later ones are left as the session has it."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Actions inside run under ``values``; later ones are left as the session has it."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def shuffles_deleted(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Actions inside delete their shuffle files when they end."""
+    return settings(spark, {CLEANUP: "true"})
+
+
+def text_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Actions inside hand texts to Python in small batches."""
+    return settings(spark, TEXT_BATCHES)
 
 
 def materialize(df: DataFrame, label: str, rows: int | None = None, rows_per_file: int = 500_000) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -134,3 +135,37 @@ def test_near_copies_meet_in_the_trees(spark, monkeypatch):
     # equal fingerprints of unlike sets are no link
     monkeypatch.setattr(simhash, "majority", lambda found: 0)
     assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == [0, 4, 6, 7]
+
+
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    """As many rows as Spark hands over at once while a table of the stages is written; its own batches have 10,000."""
+    docs = spark.createDataFrame([(k, f"text of {k} " + "and on " * 9) for k in range(3000)], "doc_id long, text string").coalesce(1)
+    setting, sizes, materialize = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None), {}, scratch.materialize
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    def seen(table, label, *a, **b):
+        sizes[label] = [r.n for r in docs.mapInArrow(run, "n long").collect()]
+        return materialize(table, label, *a, **b)
+
+    monkeypatch.setattr(scratch, "materialize", seen)
+    packing.stage_packing(spark, docs.limit(9), "")
+    simhash.stage_simhash(spark, docs.limit(9), "")
+    for label in ("tokens", "near", "near-sets"):
+        assert sum(sizes[label]) == 3000 and max(sizes[label]) <= 1000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) == setting
+
+
+def test_language_stage_returns_small_batches(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, ["the quick brown fox", "der schnelle Fuchs"][k % 2], ["en", "de"][k % 2]) for k in range(40)], "doc_id long, text string, lang string")
+    ran, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **b: ran.append(f) or plain(self, f, *a, **b))
+    langid.stage_language_id(spark, docs, "")
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(3000), "text": ["the brown fox", None, "der Fuchs"] * 1000, "lang": [None, "en", "xx"] * 1000})
+    out = list(ran[-1](iter([batch])))
+    assert max(b.num_rows for b in out) <= 1000
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == [k for k in range(3000) if k % 3 != 1]
+    assert {(r["text"], r["lang"]) for r in rows} == {("the brown fox", "en"), ("der Fuchs", "xx")}
